@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolith.llm import bpe, lm, secrets, token_files, topk
+from fotolith.llm import bpe, jaccard, lm, secrets, token_files, topk
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -46,23 +46,27 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_lm_scoring, op3_token_files, op5_exact_top_k, op6_secret_scan, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_lm_scoring, op3_token_files, op5_exact_top_k, op6_secret_scan, op9_jaccard_join, op10_bpe)}
 
 ORACLE_SQL = {
     "op5_exact_top_k": """
 WITH v AS (
-  SELECT vec_id AS id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.id AS query_id, d.id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.c) + 1), i -> q.c[i] * d.c[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * d.c[i])) AS BIGINT) AS score
   FROM v q JOIN v d ON q.id % 20 = 0 AND d.id <> q.id AND len(q.c) = len(d.c)
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
