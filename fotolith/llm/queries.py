@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolith.llm import bpe, decontaminate, jaccard, lm, pii, secrets, token_files, topk
+from fotolith.llm import bpe, decontaminate, html_text, jaccard, language, lm, pii, secrets, token_files, topk
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -56,6 +56,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_text(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables with text of unknown language: documents, and pages with their markup and address."""
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents)
+    some = language.document_languages(documents, model).withColumn("page_id", F.lit(None).cast("long"))
+    more = language.page_languages(table(spark, sf_dir, "pages"), model).withColumn("doc_id", F.lit(None).cast("long"))
+    return some.unionByName(more).select("doc_id", "page_id", "lang", "confidence", "text_lang", "accepted")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -66,7 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_token_files, op4_personal_data, op5_exact_top_k, op6_secret_scan, op9_jaccard_join, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_token_files, op4_personal_data, op5_exact_top_k, op6_secret_scan, op7_html_text, op8_language_id, op9_jaccard_join, op10_bpe)}
 
 ORACLE_SQL = {
     "op5_exact_top_k": """
