@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from fotolith.llm.words import split_words
 
 #: Rows of one slice hold about so many bytes of text.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Words longer than this are merged with a heap.
 LONG = 48
 #: Words kept from slice to slice, about: once there are so many, no more are added.
-MEMO = 150_000
+MEMO = 100_000
 NEVER = np.int64(1) << 40
 
 
