@@ -55,8 +55,6 @@ def split_words(texts: pa.Array | pa.ChunkedArray, fold: bool = True) -> tuple[n
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if fold:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten()
@@ -67,7 +65,11 @@ def split_words(texts: pa.Array | pa.ChunkedArray, fold: bool = True) -> tuple[n
         offsets = np.concatenate([[0], np.cumsum(mask)])[offsets]
         flat = flat.filter(keep)
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, offsets
+    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    if fold:  # of the distinct words only; pyarrow's ascii_lower is wrong on some sliced arrays
+        again = pc.ascii_lower(words).dictionary_encode()
+        codes, words = again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], again.dictionary
+    return codes, words, offsets
 
 
 def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
