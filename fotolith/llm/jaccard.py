@@ -2,17 +2,19 @@
 
 Documents with the same set of shingles are one class, of which one is worked on. A link needs at
 least a share `num / den` of a set in the other, so of any n - ceil(n * num / den) + 1 tokens of a
-set (its probe tokens) one is in the other's; both take theirs first in one order of all tokens:
-first those not known as frequent, by hash, then frequent ones by count. The frequent tokens, a list
-of bounded size, only shape that order: any order gives the same links.
-
-Classes that share a probe token with another one are kept, with their whole sets. They are
-partitioned into groups of similar ones: first by the least of a permutation of their tokens, where
-each is compared with one leader, so that a group of near copies of any size becomes one component
-by one comparison a member; then by component, in pieces of at most GROUP. The matrix has a row for
-each probe token and group. A query opens a group only if both share a probe token, their sizes fit,
-and enough of the query's tokens are in the union of the group's tokens; a group of the query's own
-component is never opened. Inside a task links are reduced to a forest.
+set one is in the other's. Each set's first so many tokens in one order of all tokens are its probe:
+first those not known as frequent, by hash, then frequent ones by count. The list of frequent tokens
+has a bounded size and only shapes that order: any order gives the same links.
+
+The part of two sets up to the end of the shorter probe is known exactly from the probes; if it
+differs in more tokens than two linked sets of these sizes can, the pair is none. Only pairs that
+pass are compared by their whole sets.
+
+Groups of similar classes: first by the least of a permutation of the probe, where each class is
+held against one leader, so that near copies of any number become one component by one comparison
+each; then by component, in pieces of at most GROUP. The matrix has a row for each probe token and
+group. A query opens a group if they share a probe token, their sizes fit, and enough of its probe is
+in the union of the group's; a group of the query's own component is never opened.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from fotolith.llm.components import components
 from fotolith.llm.shared import written
 from fotolith.llm.words import hash_strings, mix64, shingle_hashes, split_words
 
-#: A token in at least FREQUENT sets is frequent; the order knows at most LISTED of them.
-FREQUENT, LISTED = 32, 1 << 17
+#: A token among the least of at least FREQUENT sets is frequent; the order knows at most LISTED of
+#: them, those in most sets.
+FREQUENT, LISTED = 16, 1 << 18
 #: Members of a group, and queries of a task, at most.
 GROUP, QUERIES = 256, 1024
-SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+SEED = np.uint64(0x5851F42D4C957F2D)
+HEAVY, ALL = np.uint64(1 << 63), np.uint64(2**64 - 1)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -44,18 +48,31 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(starts[:-1], starts[1:])]
 
 
-def probe_tokens(tokens: np.ndarray, num: int, den: int, listed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """(the first tokens of a set in the common order, how many aren't frequent)."""
+def probe_size(n: int, num: int, den: int) -> int:
+    return n - -(-n * num // den) + 1
+
+
+def probe(tokens: np.ndarray, num: int, den: int, listed: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, float]:
+    """(places in the common order of a set's first tokens, share of the set that isn't frequent)."""
     n = len(tokens)
     at = np.minimum(np.searchsorted(listed, tokens), max(len(listed) - 1, 0))
     heavy = listed[at] == tokens if len(listed) else np.zeros(n, bool)
-    light = tokens[~heavy]
-    size = n - -(-n * num // den) + 1
+    light, size = tokens[~heavy] >> np.uint64(1), probe_size(n, num, den)
     if len(light) < size:
-        some = tokens[heavy]
-        light_and = np.concatenate([light, some[np.lexsort((some, counts[at[heavy]]))]])
-        return light_and[:size], len(light)
-    return light[:size], len(light)
+        light = np.concatenate([light, np.sort(places[at[heavy]]) | HEAVY])
+    return light[:size], float((~heavy).mean())
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, num: int, den: int) -> bool:
+    """Whether sets of n and m tokens with these probes can be linked: how much they differ up to the
+    end of the shorter probe (a probe that is its whole set has no end)."""
+    end = min(a[-1] if len(a) < n else ALL, b[-1] if len(b) < m else ALL)
+    x, y = a[: np.searchsorted(a, end, side="right")], b[: np.searchsorted(b, end, side="right")]
+    if not len(x) or not len(y):
+        same = 0
+    else:
+        same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return (len(x) + len(y) - 2 * same) * (den + num) <= (den - num) * (n + m)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -78,73 +95,69 @@ def jaccard_components(df: DataFrame, width: int = 4, num: int = 85, den: int =
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            sets = {s.tobytes() for s in shingle_sets(part.column("text"), width)}
-            tokens, counts = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
-            some = counts >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(counts[some])], ["h", "c"])
+            sets = shingle_sets(part.column("text"), width)
+            first = [s[: 2 * probe_size(len(s), num, den)] for s in {s.tobytes(): s for s in sets}.values() if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64) if first else [], pa.int64())], ["h"])
 
-    often = rows.select("text").mapInArrow(repeated, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
-    top = sorted((r["h"] & (2**64 - 1), r["c"]) for r in often.orderBy(F.desc("c"), "h").limit(LISTED).collect())
-    frequent = df.sparkSession.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([c for _, c in top], np.int64)))
+    often = rows.select("text").mapInArrow(least, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    top = [(r["h"] & (2**64 - 1), r["count"]) for r in often.orderBy(F.desc("count"), "h").limit(LISTED).collect()]
+    top = sorted((t, k) for k, (t, _) in enumerate(reversed(top)))
+    frequent = df.sparkSession.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([k for _, k in top], np.uint64)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.uint64)
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), width)
-            probes = [probe_tokens(s, num, den, *frequent.value) if len(s) else (s, 0) for s in sets]
+            probes = [probe(s, num, den, *frequent.value) if len(s) else (none, 0.0) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s).digest() if len(s) else None for s in sets], pa.binary()), pa.array([p.view(np.int64) for p, _ in probes], pa.list_(pa.int64()))],
-                ["key", "n", "class", "probes"],
-            )
-
-    signed = written(rows.mapInArrow(sign, f"key {kind}, n long, class binary, probes array<long>"), "signatures")
+                [
+                    part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([p.view(np.int64) for p, _ in probes], pa.list_(pa.int64())), pa.array([x for _, x in probes], pa.float64()),
+                    pa.array([int(p[0].view(np.int64)) if len(p) else None for p, _ in probes], pa.int64()), pa.array([int(mix64(p ^ SEED).min().view(np.int64)) if len(p) else None for p, _ in probes], pa.int64()),
+                ],
+                ["key", "n", "class", "probe", "light", "m0", "m1"],
+            )
+
+    signed = written(rows.mapInArrow(sign, f"key {kind}, n long, class binary, probe array<long>, light double, m0 long, m1 long"), "signatures")
     classes = written(signed.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep")), "classes")
-    links = _links(rows, signed, classes, width, num, den, kind, frequent)
+    links = _links(rows, signed, classes, width, num, den, kind)
     found = components(links)
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     same = signed.select("key", "n", "class").join(label, "class", "left").select("key", "n", F.coalesce("component_id", "key").alias("component_id"))
     return same.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int, kind: str, frequent) -> DataFrame:
+def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
     """Links (u, v) between classes, enough of them for the components."""
-    probes = signed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi").select("key", F.explode("probes").alias("h"))
-    shared = probes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    probes = written(probes.join(shared, "h").distinct(), "probes")  # h, key
-    near = written(probes.select("key").distinct(), "near")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = frequent.value[0]
-        for part in slices(batches, "text"):
-            sets = shingle_sets(part.column("text"), width)
-            least = [[int(mix64(s ^ np.uint64(seed)).min().view(np.int64)) for s in sets] for seed in SEEDS]
-            light = [float((~np.isin(s, listed, kind="sort")).mean()) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(light), *map(pa.array, least)], ["key", "tokens", "n", "light", "m0", "m1"])
-
-    sets = rows.join(near, "key", "left_semi").where("text is not null").mapInArrow(whole, f"key {kind}, tokens binary, n long, light double, m0 long, m1 long")
-    sets = written(sets.dropDuplicates(["key"]), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(b.column("tokens"), b.column("other"))]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+    some = signed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
+    tokens = some.select("key", F.explode("probe").alias("h"))
+    shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    tokens = written(tokens.join(shared, "h").distinct(), "tokens")  # h, key
+    near = tokens.select("key").distinct()
+    some = written(some.join(near, "key", "left_semi").dropDuplicates(["key"]), "probes")
 
     stars = None
     for m in ("m0", "m1"):
-        lead = sets.groupBy(m).agg(F.min(F.struct("light", "key")).alias("x"), F.count("*").alias("size")).where("size > 1").select(m, F.col("x.key").alias("leader"))
-        lead = lead.join(sets.select(F.col("key").alias("leader"), F.col("tokens").alias("other"), F.col("n").alias("on")), "leader")
+        lead = some.groupBy(m).agg(F.min(F.struct("light", "key")).alias("x"), F.count("*").alias("size")).where("size > 1").select(m, F.col("x.key").alias("leader"))
+        lead = lead.join(some.select(F.col("key").alias("leader"), F.col("probe").alias("other"), F.col("n").alias("on")), "leader")
         fit = (F.col("n") * den >= F.col("on") * num) & (F.col("on") * den >= F.col("n") * num) & (F.col("key") != F.col("leader"))
-        pairs = sets.select("key", "tokens", "n", m).join(lead, m).where(fit).select("key", "tokens", "leader", "other")
-        part = pairs.mapInArrow(compare, f"u {kind}, v {kind}")
+        part = some.select("key", "probe", "n", F.col(m).alias("by")).join(lead.withColumnRenamed(m, "by"), "by").where(fit)
+        part = part.select("key", "probe", "n", "leader", "other", "on")
         stars = part if stars is None else stars.unionAll(part)
-    stars = written(stars, "stars")
-    near = sets.select("key", "n").join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).select("key", "n", "comp")
-    sizes = near.groupBy("comp").agg(F.count("*").alias("size"))
-    near = near.join(sizes, "comp").withColumn("piece", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP)))
-    near = written(near, "groups")
 
-    by_token = probes.join(near, "key")
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_link(x, n, y, m, num, den) for x, n, y, m in zip(_codes(b.column("probe")), b.column("n").to_pylist(), _codes(b.column("other")), b.column("on").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    stars = written(_verified(rows, written(stars.mapInArrow(sketch, f"u {kind}, v {kind}").distinct(), "stars"), width, num, den, kind), "star-links")
+    groups = some.select("key", "n").join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).select("key", "n", "comp")
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    groups = written(groups.join(sizes, "comp").withColumn("piece", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))), "groups")
+
+    by_token = tokens.join(groups, "key")
     matrix = by_token.groupBy("h", "comp", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("size").alias("gsize")).withColumnRenamed("comp", "group")
     asked = by_token.select("h", F.col("key").alias("query"), "n", "comp", "size")
     smaller = (F.col("size") < F.col("gsize")) | ((F.col("size") == F.col("gsize")) & (F.col("comp") < F.col("group")))
@@ -152,53 +165,69 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
     opened = written(asked.join(matrix, "h").where(fit).select("query", "group", "piece").distinct(), "opened")
     many = opened.groupBy("group", "piece").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
     left = opened.join(many, ["group", "piece"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")))
-    left = left.join(sets.select(F.col("key").alias("query"), "tokens"), "query").select("group", "piece", "part", F.col("query").alias("key"), F.col("tokens").alias("tokens"))
-    right = near.select("key", F.col("comp").alias("group"), "piece").join(many, ["group", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    right = right.join(sets.select("key", "tokens"), "key").select(F.col("group").alias("group"), F.col("piece").alias("piece"), "part", F.col("key").alias("key"), F.col("tokens").alias("tokens"))
+    left = left.join(some.select(F.col("key").alias("query"), "probe", "n"), "query").select("group", "piece", "part", F.col("query").alias("key"), F.col("probe").alias("probe"), F.col("n").alias("n"))
+    right = groups.select("key", F.col("comp").alias("group"), "piece").join(many, ["group", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    right = right.join(some.select("key", "probe", "n"), "key").select(F.col("group").alias("group"), F.col("piece").alias("piece"), "part", F.col("key").alias("key"), F.col("probe").alias("probe"), F.col("n").alias("n"))
     schema = pa.schema([("u", signed_type(kind)), ("v", signed_type(kind))])
 
     def open_group(queries: pa.Table, members: pa.Table) -> pa.Table:
-        out = group_links([np.frombuffer(x.as_buffer(), np.uint64) for x in queries.column("tokens")], [np.frombuffer(x.as_buffer(), np.uint64) for x in members.column("tokens")], num, den)
+        sides = [(_codes(t.column("probe").combine_chunks()), t.column("n").to_numpy()) for t in (queries, members)]
+        out = group_pairs(*sides[0], *sides[1], num, den)
         q, m = queries.column("key").to_pylist(), members.column("key").to_pylist()
         return pa.table({"u": [q[a] for a, _ in out], "v": [m[b] for _, b in out]}, schema=schema)
 
     by = ["group", "piece", "part"]
-    more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(open_group, f"u {kind}, v {kind}")
+    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(open_group, f"u {kind}, v {kind}")
+    more = _verified(rows, written(pairs, "pairs"), width, num, den, kind)
     return stars.unionAll(more)
 
 
+def _codes(lists: pa.Array) -> list[np.ndarray]:
+    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
+    """The pairs (u, v) that are linked, by their whole sets."""
+    ends = pairs.select(F.col("u").alias("key")).unionAll(pairs.select(F.col("v").alias("key"))).distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], ["key", "tokens"])
+
+    sets = rows.join(written(ends, "ends"), "key", "left_semi").where("text is not null").mapInArrow(whole, f"key {kind}, tokens binary")
+    sets = written(sets.dropDuplicates(["key"]), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(b.column("a"), b.column("b"))]
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("tokens").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(compare, f"u {kind}, v {kind}")
+
+
 def signed_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def group_links(queries: list[np.ndarray], members: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between queries and members of one group, reduced to a forest: (query, member) places."""
+def group_pairs(queries: list[np.ndarray], sizes: np.ndarray, members: list[np.ndarray], others: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Places of queries and members of one group that may be linked."""
     if not queries or not members:
         return []
-    sizes = np.array([len(m) for m in members])
     flat = np.concatenate(members)
     order = np.argsort(flat, kind="stable")
-    tokens, holder = flat[order], np.repeat(np.arange(len(members)), sizes)[order]
-    up = list(range(len(queries) + len(members)))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out = []
-    for k, q in enumerate(queries):
+    tokens, holder = flat[order], np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
+    ends = np.array([m[-1] if len(m) < n else ALL for m, n in zip(members, others)], np.uint64)
+    last, high, out = ends.max(), int(others.max()), []
+    for k, (q, n) in enumerate(zip(queries, sizes.tolist())):
         a, b = np.searchsorted(tokens, q), np.searchsorted(tokens, q, side="right")
-        in_union = int((b > a).sum())
-        if in_union * den < num * len(q):
-            continue  # closed: too few of the query's tokens are in the union
-        n = b - a
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        same = np.bincount(holder[at], minlength=len(members))
-        for m in np.flatnonzero(den * same >= num * (len(q) + sizes - same)):
-            x, y = top(k), top(len(queries) + int(m))
-            if x != y:
-                up[x] = y
-                out.append((k, int(m)))
+        known = int((q <= last).sum())
+        if (known - int((b > a).sum())) * (den + num) > (den - num) * (n + high):
+            continue  # closed: too much of the query's probe is not in the union
+        times = b - a
+        at = np.repeat(a - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        fit = (np.bincount(holder[at], minlength=len(members)) > 0) & (others * den >= n * num) & (n * den >= others * num)
+        out += [(k, int(m)) for m in np.flatnonzero(fit) if may_link(q, n, members[m], int(others[m]), num, den)]
     return out
