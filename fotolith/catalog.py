@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fotolith.plans import duplicates
+from fotolith.plans import duplicates, groups, jobs, ratings, revisions, similarity, training
 
-QUERIES = {**duplicates.QUERIES}
-ORACLE_SQL = {**duplicates.ORACLE_SQL}
+_PLANS = (duplicates, groups, jobs, ratings, revisions, similarity, training)
+QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
