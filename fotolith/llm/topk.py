@@ -66,8 +66,8 @@ def top_k(df: DataFrame, k: int = 20, modulus: int = 20, scale: float = 64.0, ke
     Components become floor(scale * x). Rows take no part if their id or vector is null, the vector
     is empty or holds a null or non-finite component, or (as a pair) lengths differ. A query's own
     row, and any other with its id, is no candidate; repeated candidate rows are listed each; of
-    repeated query ids the least vector counts. Sums are exact in float64 while they stay below
-    2**53, which is checked, and else in int64.
+    repeated query ids the least vector counts. Sums are exact in float32 or float64 while
+    they stay below 2**24 or 2**53, which is checked, and else in int64.
     """
     spark = df.sparkSession
     x = F.col(column).cast("array<double>")
@@ -108,8 +108,9 @@ def _one_pass(spark, rows: DataFrame, block: list, k: int) -> DataFrame:
                 asked, queries = sent.value[int(n)]
                 mine = np.flatnonzero(sizes == n)
                 matrix = flat[(starts[mine][:, None] + np.arange(n)).ravel()].reshape(-1, n)
-                exact = n * np.abs(queries).max(initial=0) * np.abs(matrix).max(initial=0) < 2**53
-                q, m = (queries, matrix) if exact else (queries.astype(np.int64), matrix.astype(np.int64))
+                bound = n * np.abs(queries).max(initial=0) * np.abs(matrix).max(initial=0)
+                exact = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+                q, m = queries.astype(exact), matrix.astype(exact)
                 for a in range(0, len(mine), CANDIDATES):
                     part, own = m[a : a + CANDIDATES], ids[mine[a : a + CANDIDATES]]
                     inverted = postings(part)
