@@ -10,11 +10,15 @@ The part of two sets up to the end of the shorter probe is known exactly from th
 differs in more tokens than two linked sets of these sizes can, the pair is none. Only pairs that
 pass are compared by their whole sets.
 
-Groups of similar classes: first by the least of a permutation of the probe, where each class is
-held against one leader, so that near copies of any number become one component by one comparison
-each; then by component, in pieces of at most GROUP. The matrix has a row for each probe token and
-group. A query opens a group if they share a probe token, their sizes fit, and enough of its probe is
-in the union of the group's; a group of the query's own component is never opened.
+Near copies of any number become one component by one comparison each: classes with the same least
+permuted token of the probe are held against one leader of theirs. Groups of similar classes: the
+components found so, and of classes without one those whose probes have the same most shared token; in
+pieces of at most about GROUP members and TOKENS tokens. The matrix has a row for each probe token and
+piece. A query opens a piece if they share a probe token, their sizes fit, and enough of its probe is
+in the piece's union; a component's pieces are never opened from within. Of what is opened, only
+pieces with a member that may be linked are compared by whole sets, inside one task each, which
+returns a forest of the links and not each pair. The work left for a family of m classes close to
+each other but not linked is about m * m / GROUP pieces opened.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import slices
@@ -35,8 +39,8 @@ from fotolith.llm.words import hash_strings, mix64, shingle_hashes, split_words
 #: A token among the least of at least FREQUENT sets is frequent; the order knows at most LISTED of
 #: them, those in most sets.
 FREQUENT, LISTED = 16, 1 << 18
-#: Members of a group, and queries of a task, at most.
-GROUP, QUERIES = 256, 1024
+#: Members of a piece and queries of a task at most, and tokens of either side, all by expectation.
+GROUP, QUERIES, TOKENS = 256, 1024, 1 << 20
 SEED = np.uint64(0x5851F42D4C957F2D)
 HEAVY, ALL = np.uint64(1 << 63), np.uint64(2**64 - 1)
 
@@ -133,8 +137,8 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
     """Links (u, v) between classes, enough of them for the components."""
     some = signed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
     tokens = some.select("key", F.explode("probe").alias("h"))
-    shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    tokens = written(tokens.join(shared, "h").distinct(), "tokens")  # h, key
+    shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    tokens = written(tokens.join(shared, "h").distinct(), "tokens")  # h, key, c
     near = tokens.select("key").distinct()
     some = written(some.join(near, "key", "left_semi").dropDuplicates(["key"]), "probes")
 
@@ -153,33 +157,62 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     stars = written(_verified(rows, written(stars.mapInArrow(sketch, f"u {kind}, v {kind}").distinct(), "stars"), width, num, den, kind), "star-links")
-    groups = some.select("key", "n").join(components(stars).withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).select("key", "n", "comp")
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
-    groups = written(groups.join(sizes, "comp").withColumn("piece", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))), "groups")
-
-    by_token = tokens.join(groups, "key")
-    matrix = by_token.groupBy("h", "comp", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("size").alias("gsize")).withColumnRenamed("comp", "group")
-    asked = by_token.select("h", F.col("key").alias("query"), "n", "comp", "size")
-    smaller = (F.col("size") < F.col("gsize")) | ((F.col("size") == F.col("gsize")) & (F.col("comp") < F.col("group")))
-    fit = (F.col("comp") != F.col("group")) & smaller & (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
-    opened = written(asked.join(matrix, "h").where(fit).select("query", "group", "piece").distinct(), "opened")
-    many = opened.groupBy("group", "piece").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
-    left = opened.join(many, ["group", "piece"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")))
-    left = left.join(some.select(F.col("key").alias("query"), "probe", "n"), "query").select("group", "piece", "part", F.col("query").alias("key"), F.col("probe").alias("probe"), F.col("n").alias("n"))
-    right = groups.select("key", F.col("comp").alias("group"), "piece").join(many, ["group", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    right = right.join(some.select("key", "probe", "n"), "key").select(F.col("group").alias("group"), F.col("piece").alias("piece"), "part", F.col("key").alias("key"), F.col("probe").alias("probe"), F.col("n").alias("n"))
+    most = tokens.groupBy("key").agg(F.max(F.struct("c", "h"))["h"].alias("top"))
+    groups = some.select("key", "n").join(most, "key").join(components(stars).withColumnRenamed("node", "key"), "key", "left")
+    name = F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat(F.lit("t"), F.col("top").cast("string")))
+    groups = groups.select("key", "n", name.alias("group"), F.col("component").isNull().alias("loose"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"), _parts(GROUP).alias("pieces"))
+    groups = written(groups.join(sizes, "group").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces"))).drop("pieces"), "groups")
+
+    by_token = tokens.drop("c").join(groups, "key")
+    matrix = by_token.groupBy("h", "group", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("size").alias("size"), F.max("loose").alias("loose"))
+    asked = by_token.select("h", F.col("key").alias("query"), "n", F.struct("size", "group", "piece").alias("mine"))
+    its = F.struct("size", "group", "piece")
+    other = ((F.col("mine.group") != F.col("group")) | F.col("loose")) & ((F.col("mine") < its) | ((F.col("mine") == its) & (F.col("size") > 1)))
+    fit = other & (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
+    opened = written(asked.join(matrix, "h").where(fit).select(F.col("query").alias("key"), "n", "group", "piece").distinct(), "opened")
+
+    def near_group(queries: pa.Table, members: pa.Table) -> pa.Table:
+        sides = [(_codes(t.column("probe").combine_chunks()), t.column("n").to_numpy(), t.column("key").to_pylist()) for t in (queries, members)]
+        return queries.select(["key", "n", "group", "piece"]).filter(pa.array(near_queries(*sides[0], *sides[1], num, den), pa.bool_()))
+
+    left, right = _sides(opened, groups, some.select("key", "probe"))
+    hits = left.cogroup(right).applyInArrow(near_group, f"key {kind}, n long, group string, piece long")
+    return stars.unionAll(_forest(rows, written(hits, "hits"), groups, width, num, den, kind))
+
+
+def _parts(rows: int) -> Column:
+    """Parts for at most about so many rows and TOKENS tokens (column n) each."""
+    return F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / TOKENS))
+
+
+def _sides(opened: DataFrame, groups: DataFrame, what: DataFrame) -> tuple[GroupedData, GroupedData]:
+    """Queries (key, n, group, piece) and members of the pieces they open, with the columns of what:
+    a piece's queries are split into parts, each of which gets the piece's members."""
+    by, many = ["group", "piece", "part"], opened.groupBy("group", "piece").agg(_parts(QUERIES).alias("parts"))
+    left = opened.join(many, ["group", "piece"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts").join(what, "key")
+    right = groups.join(many, ["group", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").join(what, "key")
+    left, right = (d.select(*(F.col(c).alias(c) for c in d.columns)) for d in (left, right))  # else the columns of one table on both sides are ambiguous
+    return left.groupBy(*by), right.groupBy(*by)
+
+
+def _forest(rows: DataFrame, hits: DataFrame, groups: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
+    """Links between queries and members of the pieces they hit, by whole sets; of each task those
+    that join what no other link of it has joined."""
+    members = groups.join(hits.select("group", "piece").distinct(), ["group", "piece"], "left_semi")
+    sets = _sets(rows, hits.select("key").unionAll(members.select("key")).distinct(), width, kind)
     schema = pa.schema([("u", signed_type(kind)), ("v", signed_type(kind))])
 
-    def open_group(queries: pa.Table, members: pa.Table) -> pa.Table:
-        sides = [(_codes(t.column("probe").combine_chunks()), t.column("n").to_numpy()) for t in (queries, members)]
-        out = group_pairs(*sides[0], *sides[1], num, den)
-        q, m = queries.column("key").to_pylist(), members.column("key").to_pylist()
-        return pa.table({"u": [q[a] for a, _ in out], "v": [m[b] for _, b in out]}, schema=schema)
+    def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
+        if not len(queries) or not len(members):
+            return schema.empty_table()
+        q, m = ([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens").combine_chunks()] for t in (queries, members))
+        keys, others = queries.column("key").to_pylist(), members.column("key").to_pylist()
+        out = forest(q, keys, m, others, members.column("loose")[0].as_py(), num, den)
+        return pa.table({"u": [u for u, _ in out], "v": [v for _, v in out]}, schema=schema)
 
-    by = ["group", "piece", "part"]
-    pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(open_group, f"u {kind}, v {kind}")
-    more = _verified(rows, written(pairs, "pairs"), width, num, den, kind)
-    return stars.unionAll(more)
+    left, right = _sides(hits, members, sets)
+    return left.cogroup(right).applyInArrow(compare, f"u {kind}, v {kind}")
 
 
 def _codes(lists: pa.Array) -> list[np.ndarray]:
@@ -188,16 +221,20 @@ def _codes(lists: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
-    """The pairs (u, v) that are linked, by their whole sets."""
-    ends = pairs.select(F.col("u").alias("key")).unionAll(pairs.select(F.col("v").alias("key"))).distinct()
+def _sets(rows: DataFrame, keys: DataFrame, width: int, kind: str) -> DataFrame:
+    """(key, tokens) of these keys: whole sets, sorted, as bytes."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], ["key", "tokens"])
 
-    sets = rows.join(written(ends, "ends"), "key", "left_semi").where("text is not null").mapInArrow(whole, f"key {kind}, tokens binary")
-    sets = written(sets.dropDuplicates(["key"]), "sets")
+    sets = rows.join(written(keys, "ends"), "key", "left_semi").where("text is not null").mapInArrow(whole, f"key {kind}, tokens binary")
+    return written(sets.dropDuplicates(["key"]), "sets")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
+    """The pairs (u, v) that are linked, by their whole sets."""
+    sets = _sets(rows, pairs.select(F.col("u").alias("key")).unionAll(pairs.select(F.col("v").alias("key"))).distinct(), width, kind)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,22 +249,56 @@ def signed_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def group_pairs(queries: list[np.ndarray], sizes: np.ndarray, members: list[np.ndarray], others: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Places of queries and members of one group that may be linked."""
-    if not queries or not members:
-        return []
+def postings(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all members, sorted; the place of each one's member)."""
     flat = np.concatenate(members)
     order = np.argsort(flat, kind="stable")
-    tokens, holder = flat[order], np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
-    ends = np.array([m[-1] if len(m) < n else ALL for m, n in zip(members, others)], np.uint64)
-    last, high, out = ends.max(), int(others.max()), []
-    for k, (q, n) in enumerate(zip(queries, sizes.tolist())):
-        a, b = np.searchsorted(tokens, q), np.searchsorted(tokens, q, side="right")
+    return flat[order], np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
+
+
+def overlaps(q: np.ndarray, tokens: np.ndarray, holder: np.ndarray, many: int) -> tuple[int, np.ndarray]:
+    """(tokens of q in the union, tokens of q in each of the members)."""
+    a, b = np.searchsorted(tokens, q), np.searchsorted(tokens, q, side="right")
+    times = b - a
+    at = np.repeat(a - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    return int((times > 0).sum()), np.bincount(holder[at], minlength=many)
+
+
+def near_queries(queries: list[np.ndarray], sizes: np.ndarray, keys: list, members: list[np.ndarray], others: np.ndarray, names: list, num: int, den: int) -> list[bool]:
+    """Whether each query may be linked with a member of the piece other than itself, by the probes."""
+    if not queries or not members:
+        return [False] * len(queries)
+    tokens, holder = postings(members)
+    last = np.array([m[-1] if len(m) < n else ALL for m, n in zip(members, others)], np.uint64).max()
+    high, out = int(others.max()), []
+    for q, n, key in zip(queries, sizes.tolist(), keys):
+        found, each = overlaps(q, tokens, holder, len(members))
         known = int((q <= last).sum())
-        if (known - int((b > a).sum())) * (den + num) > (den - num) * (n + high):
-            continue  # closed: too much of the query's probe is not in the union
-        times = b - a
-        at = np.repeat(a - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        fit = (np.bincount(holder[at], minlength=len(members)) > 0) & (others * den >= n * num) & (n * den >= others * num)
-        out += [(k, int(m)) for m in np.flatnonzero(fit) if may_link(q, n, members[m], int(others[m]), num, den)]
+        if (known - found) * (den + num) > (den - num) * (n + high):
+            out.append(False)  # closed: too much of the query's probe is not in the union
+            continue
+        fit = np.flatnonzero((each > 0) & (others * den >= n * num) & (n * den >= others * num))
+        out.append(any(names[m] != key and may_link(q, n, members[m], int(others[m]), num, den) for m in fit.tolist()))
+    return out
+
+
+def forest(queries: list[np.ndarray], keys: list, members: list[np.ndarray], names: list, loose: bool, num: int, den: int) -> list[tuple]:
+    """Links (key, name) that join all that is linked here; members that aren't loose are joined already."""
+    tokens, holder = postings(members)
+    sizes, up, out = np.array([len(m) for m in members]), {}, []
+
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    if not loose:
+        up = {m: names[0] for m in names}
+    for q, key in zip(queries, keys):
+        same = overlaps(q, tokens, holder, len(members))[1]
+        for m in np.flatnonzero((same > 0) & (den * same >= num * (len(q) + sizes - same))).tolist():
+            u, v = top(key), top(names[m])
+            if u != v:
+                up[u] = v
+                out.append((key, names[m]))
     return out

@@ -127,7 +127,7 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_jaccard_is_brute_force(spark, docs, none):
+def test_jaccard_is_brute_force(spark, docs, none, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 60))] for _ in range(12)]
@@ -140,7 +140,9 @@ def test_jaccard_is_brute_force(spark, docs, none):
             texts.append(" ".join(t).upper() if rng.random() < 0.2 else " ".join(t))
     texts += TEXTS
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, probe string")
-    for width, num, den in ((4, 85, 100), (5, 80, 100)):
+    for width, num, den, *most in ((4, 85, 100, 256, 1024, 1 << 20), (5, 80, 100, 4, 3, 200)):
+        for name, value in zip(("GROUP", "QUERIES", "TOKENS"), most):  # small ones make many pieces and parts
+            monkeypatch.setattr(jaccard, name, value)
         sets = []
         for t in texts:
             w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
@@ -159,6 +161,25 @@ def test_jaccard_is_brute_force(spark, docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_forest_joins_what_is_linked():
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(120, 100, replace=False)).astype(np.uint64) for _ in range(60)]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if jaccard.linked(a, b, 72, 100)]
+    for loose in (True, False):
+        out = jaccard.forest(sets[:30], list(range(30)), sets[30:], list(range(30, 60)), loose, 72, 100)
+        assert {*out} <= {(j, i) for i, j in links}
+
+        def parts(edges):
+            label, known = list(range(60)), [] if loose else [(30, m) for m in range(31, 60)]
+            for _ in range(60):
+                for i, j in [*edges, *known]:
+                    label[i] = label[j] = min(label[i], label[j])
+            return label
+
+        assert parts(out) == parts([(i, j) for i, j in links if j < 30 <= i]) and len(out) < 60
+    assert len(links) > 60
+
+
 def test_personal_data(docs, none):
     def base(t):
         out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
