@@ -15,6 +15,7 @@ vocabulary crosses, so that each distinct piece is encoded once per slice of row
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import json
 import unicodedata
@@ -27,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fotolith.llm.shared import bounded_batches
+
 from fotolith.llm.words import split_words
 
 #: Rows of one slice hold about so many bytes of text.
@@ -268,6 +271,14 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: workers stay for later tasks, and what they hold counts."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut where the text column's bytes pass the limit; a row is never cut."""
     for batch in batches:
@@ -277,6 +288,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch if b - a == batch.num_rows else batch.take(pa.array(np.arange(a, b)))  # no offsets: some kernels get them wrong
+    give_back()
 
 
 def encode_column(bpe: Bpe, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -313,6 +325,7 @@ def bpe_round_trip(df: DataFrame, path: str, column: str = "text", key: str = "d
             ids, decoded = encode_column(bpe, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("key"), ids, decoded], ["key", "ids", "decoded"])
 
+    bounded_batches(df)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)

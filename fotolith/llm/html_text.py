@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import slices
+from fotolith.llm.shared import bounded_batches
 
 WIDE = 80
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,5 +319,6 @@ def page_text(df: DataFrame, column: str = "html", key: str = "page_id") -> Data
             texts = [render(p) if p else "" for p in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
+    bounded_batches(df)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(column).alias("html")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)

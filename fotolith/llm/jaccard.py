@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import slices
 from fotolith.llm.components import components
-from fotolith.llm.shared import written
+from fotolith.llm.shared import bounded_batches, written
 from fotolith.llm.words import hash_strings, mix64, shingle_hashes, split_words
 
 #: A token among the least of at least FREQUENT sets is frequent; the order knows at most LISTED of
@@ -98,6 +98,7 @@ def jaccard_components(df: DataFrame, width: int = 4, num: int = 85, den: int =
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))
+    bounded_batches(df)
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

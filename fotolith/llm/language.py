@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import slices
-from fotolith.llm.shared import written
+from fotolith.llm.shared import bounded_batches, written
 
 #: Labelled rows in the fit, at most, and languages.
 SAMPLE, LANGUAGES = 3_000, 64
@@ -69,6 +69,7 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Trigram counts of each language over at most `sample` rows, the first by a hash of the key."""
     spark = labelled.sparkSession
+    bounded_batches(labelled)
     rows = labelled.select(F.col(key).alias("key"), F.col(label).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null and key is not null")
     chosen = rows.select("key").orderBy(F.xxhash64("key"), "key").limit(sample)
     chosen = spark.createDataFrame([(r["key"],) for r in chosen.collect()], f"key {rows.schema['key'].dataType.simpleString()}")
@@ -104,6 +105,7 @@ def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Colu
     before their shuffle; a host's rows may be split among tasks.
     """
     spark = df.sparkSession
+    bounded_batches(df)
     sent = spark.sparkContext.broadcast(model)
     names = model.names
 

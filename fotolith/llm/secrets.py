@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import slices
-from fotolith.llm.shared import written
+from fotolith.llm.shared import bounded_batches, written
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the base spans.
@@ -126,6 +126,7 @@ def secret_spans(df: DataFrame, column: str = "text", key: str = "doc_id", fdr:
     second pass, which applies the thresholds, reads no text. Null and empty texts have no spans;
     rows are kept one for one, repeated ones and null keys too.
     """
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):

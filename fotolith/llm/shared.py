@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, limit: int = 8 << 20) -> None:
+    """Rows go to Python workers in batches of at most about `limit` bytes, or one row: executors hold
+    each batch twice. Lowers the session's setting, never raises it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= limit:
+        conf.set(name, str(limit))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, by one aggregate."""
     from pyspark.sql import functions as F

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import byte_symbols, slices
-from fotolith.llm.shared import new_path, text_bytes
+from fotolith.llm.shared import bounded_batches, new_path, text_bytes
 from fotolith.llm.words import split_words
 
 MAGIC = b"WMX1"
@@ -249,6 +249,7 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end: int | None
     payload. Null and empty texts have no ids but the end. Repeated keys stay, in order of their
     texts. Rows whose key is null are left out: there is no place for them in the order.
     """
+    bounded_batches(df)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(column), F.lit("")).alias("text")).where("key is not null")
     ranges = max(1, -(-text_bytes(rows) // range_bytes))
 
