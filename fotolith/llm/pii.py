@@ -192,7 +192,8 @@ def personal_spans(df: DataFrame, column: str = "text", key: str = "doc_id", sam
     hits = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
     over = F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"), p["x"].alias("x"), F.exists("b", lambda b: hits(p, b) & (b["kind"] == p["kind"])).alias("positive"), F.exists("b", lambda b: hits(p, b)).alias("over")))
     found = written(found.withColumn("p", over), "personal")
-    drawn = found.where(F.size("p") > 0).select(F.explode("p").alias("p")).select("p.x", "p.positive").orderBy(F.xxhash64("x", "positive"), "x").limit(sample).collect()
+    drawn = found.where(F.size("p") > 0).select(F.explode("p").alias("p")).select("p.x", "p.positive").orderBy(F.xxhash64("x", "positive"), "x").limit(sample)
+    drawn = written(drawn, "drawn").collect()  # sample rows at most; a collected limit sends the driver as many from each task
     score, least = fitted([(r["x"], r["positive"]) for r in drawn])
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
