@@ -2,14 +2,13 @@
 
 Documents are dealt into chunks by their key. A chunk sends its distinct words with their training
 counts to the words' owners (a bucket of the hash space), which add them up and answer each chunk
-with the totals in the order asked; and it sends hashes of its training bigrams with their counts.
+with the totals in the order asked; and it sends hashes of its bigrams with their training counts.
 Chunks and owners exchange compressed blocks, never a row a token.
 
 The filter holds, for an n-gram of quantised count level q, the members (n-gram, 1) to (n-gram, q);
 its level is found again by probing one after the other until a probe fails. Every owner builds the
-part of its bucket, sized by its own members. What is gathered from the corpus grows with it; what
-is broadcast may not: MAX_FILTER bytes bound the filter, kept by the least count level (at least
-MIN_BIGRAM) whose bigrams, then unigrams, fit.
+part of its bucket, sized by its own members, and answers each chunk's probes from it. Nothing is
+broadcast, so no level is left out, and a part is as large as its bucket, not as the corpus.
 
 Probabilities are Jelinek and Mercer's: a bigram share of the history's count and a unigram share,
 weighted by the history's count level; the weights come from expectation-maximisation over the
@@ -28,17 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.llm.shared import text_bytes, written
+from fotolith.llm.shared import bounded_batches, text_bytes, written
 from fotolith.llm.words import hash_strings, mix64, split_words
 
 #: Bytes of text in a chunk and behind an owner, about, and the least number of either.
 CHUNK_BYTES, OWNER_BYTES, CHUNKS, OWNERS = 8 << 20, 32 << 20, 64, 16
-#: Bound of the broadcast filter in bytes; bits a member; probes a member.
-MAX_FILTER, BITS, PROBES = 48 << 20, 10, 5
+#: Bits a member; probes a member.
+BITS, PROBES = 10, 5
 #: Base of the count levels, and their number.
 BASE, LEVELS = 1.5, 64
-#: Least level of a bigram in the filter: those seen once are left to the unigrams.
-MIN_BIGRAM = 2
 FIT_CHUNKS, FIT_ROUNDS = 2, 20
 KEY_BITS = 48
 _EDGES = np.array(sorted({math.ceil(BASE**k) for k in range(LEVELS + 8)}), np.int64)
@@ -108,7 +105,7 @@ def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
 class Filter:
     """Parts of one bit array: part p holds places base[p] to base[p] + size[p]."""
 
-    def __init__(self, data: bytes, base: np.ndarray, size: np.ndarray, owners: int, least: tuple[int, int]):
+    def __init__(self, data: bytes, base: np.ndarray, size: np.ndarray, owners: int, least: tuple[int, int] = (1, 1)):
         self.bits, self.base, self.size, self.owners, self.least = np.frombuffer(data, np.uint8), base, size, owners, least
 
     @staticmethod
@@ -150,7 +147,8 @@ def _send(table: pa.Table, owners: int) -> pa.Table:
             words = c.words.take(pa.array(mine))
             text = zstandard.ZstdCompressor(level=1).compress(pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar("\n", pa.large_string()))[0].as_py().encode())
             rows.append((chunk, o, bundle(text, squeeze(counts[mine]))))
-    keys, times = np.unique(c.bigrams(np.flatnonzero(c.in_train)), return_counts=True)
+    keys, at = np.unique(c.bigrams(np.arange(len(c.tokens))), return_inverse=True)
+    times = np.bincount(at.ravel()[c.in_train], minlength=len(keys))
     own = owner_of(keys, owners)
     for o in range(owners):
         mine = own == o
@@ -161,35 +159,33 @@ def _send(table: pa.Table, owners: int) -> pa.Table:
 
 
 _SENT = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("payload", pa.binary())])
-_OWNED = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("payload", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("hist", pa.list_(pa.int64()))])
+_OWNED = pa.schema([("chunk", pa.int64()), ("owner", pa.int32()), ("payload", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
 
 def _add_up(table: pa.Table, owners: int) -> pa.Table:
-    """An owner's totals: answers to the chunks (chunk >= 0), and its n-grams' levels (chunk -1)."""
+    """An owner's answers to the chunks (chunk >= 0): its words' totals and levels, or its bigrams'
+    levels, in the order asked; and its words' totals (chunk -1). Levels come from its filter part."""
     owner = table.column("owner")[0].as_py()
     chunks, parts = table.column("chunk").to_pylist(), [unbundle(p) for p in table.column("payload").to_pylist()]
-    rows = []
     times = [unsqueeze(p[1]) for p in parts]
     if owner < owners:
         words = pa.concat_arrays([pc.split_pattern(pa.array([zstandard.ZstdDecompressor().decompress(p[0]).decode()], pa.large_string()), "\n").flatten() for p in parts]).dictionary_encode()
-        codes = words.indices.to_numpy().astype(np.int64)
-        total = np.bincount(codes, np.concatenate(times).astype(float), len(words.dictionary)).astype(np.int64)
-        at = 0
-        for chunk, t in zip(chunks, times):
-            rows.append((chunk, owner, squeeze(total[codes[at : at + len(t)]]), None, None, None))
-            at += len(t)
+        where = words.indices.to_numpy().astype(np.int64)
         keys = hash_strings(words.dictionary) >> np.uint64(64 - KEY_BITS)
-        least, n, v = 1, int(total.sum()), int((total > 0).sum())
     else:
         keys, where = np.unique(np.concatenate([np.cumsum(unsqueeze(p[0], KEY_BITS // 8), dtype=np.uint64) for p in parts]), return_inverse=True)
-        total = np.bincount(where.ravel(), np.concatenate(times).astype(float), len(keys)).astype(np.int64)
-        least, n, v = MIN_BIGRAM, 0, 0
-    levels = level(total)
-    hist = np.bincount(levels, minlength=LEVELS + 8).tolist()
-    keep = levels >= least
-    order = np.argsort(keys[keep], kind="stable")
-    payload = bundle(squeeze(np.diff(keys[keep][order], prepend=np.uint64(0)), KEY_BITS // 8), squeeze(levels[keep][order], 1))
-    rows.append((-1, owner, payload, n, v, hist))
+        where = where.ravel()
+    total = np.bincount(where, np.concatenate(times).astype(float), len(keys)).astype(np.int64)
+    order, exact = np.argsort(keys, kind="stable"), level(total)
+    bits = _build(bundle(squeeze(np.diff(keys[order], prepend=np.uint64(0)), KEY_BITS // 8), squeeze(exact[order], 1)), 1)
+    found = Filter(bits, np.zeros(1, np.int64), np.full(1, 8 * len(bits)), 1).levels(keys, 0)
+    rows, at = [], 0
+    for chunk, t in zip(chunks, times):
+        asked = where[at : at + len(t)]
+        rows.append((chunk, owner, bundle(squeeze(found[asked], 1), squeeze(total[asked])) if owner < owners else bundle(squeeze(found[asked], 1)), None, None))
+        at += len(t)
+    if owner < owners:
+        rows.append((-1, owner, None, int(total.sum()), int((total > 0).sum())))
     return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_OWNED)}, schema=_OWNED)
 
 
@@ -209,117 +205,105 @@ def _build(payload: bytes, least: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def cut_offs(hist: np.ndarray, owners: int, limit: int) -> tuple[int, int]:
-    """Least levels of unigrams and bigrams in the filter, so that it has at most `limit` bytes."""
-    levels = np.arange(hist.shape[1])
-    size = lambda order, least: int((hist[order * owners : (order + 1) * owners, least:] * levels[least:]).sum()) * BITS // 8 + 8 * owners
-    uni, bi = 1, MIN_BIGRAM
-    while bi < LEVELS and size(0, uni) + size(1, bi) > limit:
-        bi += 1
-    while uni < LEVELS and size(0, uni) + size(1, bi) > limit:
-        uni += 1
-    return uni, bi
-
-
-class Model:
-    """What scoring a chunk needs: the filter, the totals and the weights."""
-
-    def __init__(self, filter_: Filter, n: int, v: int, weights: np.ndarray):
-        self.filter, self.n, self.v, self.weights = filter_, n, v, weights
-
-    def parts(self, c: Chunk, which: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history's level, bigram share, unigram share) of tokens, from probes alone; left_out is
-        taken off each count."""
-        own = self.filter.levels(c.hash >> np.uint64(64 - KEY_BITS), 0)
-        keys, at = np.unique(c.bigrams(which), return_inverse=True)
-        pair = VALUE[self.filter.levels(keys, 1)][at.ravel()]
-        history = VALUE[own[c.before[which]]]
-        word = VALUE[own[c.tokens[which]]]
-        pair = np.minimum(pair, np.minimum(history, word))
-        low = np.maximum(word - left_out, 0) + 1
-        share = np.maximum(pair - left_out, 0) / np.maximum(history - left_out, 1)
-        return own[c.before[which]], np.minimum(share, 1), low / (self.n + self.v + 1)
-
-    def score(self, c: Chunk) -> np.ndarray:
-        at, high, low = self.parts(c, np.arange(len(c.tokens)), 0)
-        w = self.weights[at]
-        return np.log10(w * high + (1 - w) * low)
-
-
-def _counts(c: Chunk, replies: pa.Table, owners: int) -> np.ndarray:
-    """Exact training counts of the chunk's words, from the owners' answers."""
-    own, out = owner_of(c.hash >> np.uint64(64 - KEY_BITS), owners), np.zeros(len(c.words), np.int64)
+def shares(history: np.ndarray, pair: np.ndarray, word: np.ndarray, n: int, v: int, left_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bigram share, unigram share) of tokens by the levels of history, bigram and word; left_out is
+    taken off each count."""
+    history, pair, word = VALUE[history], VALUE[pair], VALUE[word]
+    pair = np.minimum(pair, np.minimum(history, word))
+    share = np.maximum(pair - left_out, 0) / np.maximum(history - left_out, 1)
+    return np.minimum(share, 1), (np.maximum(word - left_out, 0) + 1) / (n + v + 1)
+
+
+def _answers(c: Chunk, replies: pa.Table, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the owners' answers: exact training counts and levels of the chunk's words, and the levels
+    of its tokens' bigrams."""
+    keys, at = np.unique(c.bigrams(np.arange(len(c.tokens))), return_inverse=True)
+    own, owned = owner_of(c.hash >> np.uint64(64 - KEY_BITS), owners), owner_of(keys, owners)
+    counts, words, pairs = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.uint8), np.zeros(len(keys), np.uint8)
     for o, payload in zip(replies.column("owner").to_pylist(), replies.column("payload").to_pylist()):
-        out[own == o] = unsqueeze(payload).astype(np.int64)
-    return out
+        found = unbundle(payload)
+        if o < owners:
+            words[own == o], counts[own == o] = unsqueeze(found[0], 1), unsqueeze(found[1])
+        else:
+            pairs[owned == o - owners] = unsqueeze(found[0], 1)
+    return counts, words, pairs[at.ravel()]
+
 
+def _levels(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of history, bigram and word of the tokens of rows, and where each row begins. A text's
+    first token follows an end, as any row's last token is."""
+    data = column.to_pylist()
+    both = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 2)
+    word = both[:, 0].astype(np.int64)
+    return np.roll(word, 1), both[:, 1].astype(np.int64), word, np.cumsum([0] + [len(d) // 2 for d in data])[:-1]
 
-def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2, max_filter: int = MAX_FILTER) -> DataFrame:
+
+def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Trained on rows whose crc32(key as text) mod `folds` is not `held` (a null key counts as
     training). Null and empty texts are one end token. With no training text at all every
     probability is 1 / (0 + 0 + 1), and scores are 0. Rows are kept one for one. Texts are shuffled
-    by chunk twice (to count and to score); a worker holds one chunk or one owner's blocks.
+    by chunk twice (to count and to look up); a worker holds one chunk or one owner's blocks. Two
+    levels a token are written to the shared folder, for the fit and the scores.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(column), F.lit("")).alias("text"), F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held, F.lit(False)).alias("held_out"))
+    bounded_batches(rows)
     size = text_bytes(rows)
     chunks, owners = max(CHUNKS, -(-size // CHUNK_BYTES)), max(OWNERS, -(-size // OWNER_BYTES))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
     sent = rows.groupBy("chunk").applyInArrow(lambda t: _send(t, owners), "chunk long, owner int, payload binary")
-    owned = written(sent.groupBy("owner").applyInArrow(lambda t: _add_up(t, owners), "chunk long, owner int, payload binary, n long, v long, hist array<long>"), "lm-counts")
-    totals = owned.where("chunk = -1").select("owner", "n", "v", "hist").collect()
-    n, v = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
-    hist = np.zeros((2 * owners, LEVELS + 8), np.int64)
-    for r in totals:
-        hist[r["owner"]] = r["hist"]
-    least = cut_offs(hist, owners, max_filter)
-
-    def build(batches):
-        for b in batches:
-            made = [_build(p, least[o >= owners]) for o, p in zip(b.column("owner").to_pylist(), b.column("payload").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("owner"), pa.array(made, pa.binary())], ["owner", "bits"])
-
-    parts = dict(owned.where("chunk = -1").select("owner", "payload").mapInArrow(build, "owner int, bits binary").collect())  # max_filter bytes at most
-    sizes = np.array([8 * len(parts.get(o, b"")) for o in range(2 * owners)], np.int64)
-    filter_ = Filter(b"".join(bytes(parts.get(o, b"")) for o in range(2 * owners)), np.cumsum(sizes) - sizes, sizes, owners, least)
-    model = spark.sparkContext.broadcast(Model(filter_, n, v, np.zeros(LEVELS + 8)))
-    fit = _fit(rows.where(F.col("chunk") < FIT_CHUNKS), model)
-
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    owned = written(sent.groupBy("owner").applyInArrow(lambda t: _add_up(t, owners), "chunk long, owner int, payload binary, n long, v long"), "lm-counts")
+    n, v = (x or 0 for x in owned.where("chunk = -1").agg(F.sum("n"), F.sum("v")).first())
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        c, m = Chunk(left), model.value
-        m.weights = fit
-        counts = _counts(c, right, owners)
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left)
+        counts, words, pairs = _answers(c, right, owners)
         add = lambda x: np.add.reduceat(x, c.offsets[:-1]) if len(c.offsets) > 1 else np.zeros(0)
         base = np.log10((counts + 1) / (n + v + 1))[c.tokens]
-        return pa.table([left.column("key"), left.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(add((counts > 0)[c.tokens].astype(np.int64))), pa.array(np.full(left.num_rows, n, np.int64)), pa.array(add(base)), pa.array(add(m.score(c)))], ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        both = np.stack([words[c.tokens], pairs], axis=1).tobytes()
+        levels = pa.array([both[2 * a : 2 * b] for a, b in zip(c.offsets[:-1], c.offsets[1:])], pa.binary())
+        return pa.table([left.column("chunk"), left.column("key"), left.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(add((counts > 0)[c.tokens].astype(np.int64))), pa.array(add(base)), levels], ["chunk", "key", "held_out", "n_tokens", "n_known", "base_score", "levels"])
 
+    kind = df.schema[key].dataType.simpleString()
     replies = owned.where("chunk >= 0").select("chunk", "owner", "payload")
-    return rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, schema).withColumnRenamed("key", key)
-
-
-def _fit(rows: DataFrame, model) -> np.ndarray:
-    """Weights of the bigram share by the history's level, fitted on each of a few chunks' training
-    texts and averaged by their tokens."""
-
-    def fit(table: pa.Table) -> pa.Table:
-        c = Chunk(table)
-        which = np.flatnonzero(c.in_train)
-        at, high, low = model.value.parts(c, which, 1)
-        w, n = np.full(LEVELS + 8, 0.5), np.bincount(at, minlength=LEVELS + 8)
-        for _ in range(FIT_ROUNDS):
-            a = w[at] * high
-            w = np.bincount(at, a / (a + (1 - w[at]) * low), LEVELS + 8) / np.maximum(n, 1)
-        return pa.table({"w": pa.array([w.tolist()]), "n": pa.array([n.tolist()])})
-
-    out, total = np.zeros(LEVELS + 8), np.full(LEVELS + 8, 1e-9)
-    for r in rows.groupBy("chunk").applyInArrow(fit, "w array<double>, n array<long>").collect():
-        out += np.array(r["w"]) * np.array(r["n"])
-        total += np.array(r["n"])
-    out = out / total
-    out[0] = 0.0
-    return np.clip(out, 0, 0.999)
+    found = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(look_up, f"chunk long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, levels binary")
+    found = written(found, "lm-levels")
+    weights = _fit(found.where(F.col("chunk") < FIT_CHUNKS), n, v)
+
+    def score(batches):
+        for b in batches:
+            if b.num_rows:
+                history, pair, word, starts = _levels(b.column("levels"))
+                high, low = shares(history, pair, word, n, v, 0)
+                w = weights[history]
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("key", "held_out", "n_tokens", "n_known")), pa.array(np.full(b.num_rows, n, np.int64)), b.column("base_score"), pa.array(np.add.reduceat(np.log10(w * high + (1 - w) * low), starts))], ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return found.mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
+
+
+def _fit(found: DataFrame, n: int, v: int) -> np.ndarray:
+    """Weights of the bigram share by the history's level, fitted on the training texts' counts of
+    (history, bigram, word) levels, a table whose size the levels bound."""
+
+    def seen(batches):
+        for b in batches:
+            if b.num_rows:
+                history, pair, word, _ = _levels(b.column("levels"))
+                code, times = np.unique((history << 16) + (pair << 8) + word, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], ["code", "times"])
+
+    got = found.where("not held_out").select("levels").mapInArrow(seen, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).collect()
+    return _weights(np.array([r["code"] for r in got], np.int64), np.array([r["times"] for r in got], np.int64), n, v)
+
+
+def _weights(code: np.ndarray, times: np.ndarray, n: int, v: int) -> np.ndarray:
+    at = code >> 16
+    high, low = shares(at, code >> 8 & 255, code & 255, n, v, 1)
+    w, total = np.full(LEVELS + 8, 0.5), np.bincount(at, times, LEVELS + 8)
+    for _ in range(FIT_ROUNDS):
+        a = w[at] * high
+        w = np.bincount(at, times * a / (a + (1 - w[at]) * low), LEVELS + 8) / np.maximum(total, 1)
+    w[0] = 0.0
+    return np.clip(w, 0, 0.999)
