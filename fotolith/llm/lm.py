@@ -11,8 +11,8 @@ part of its bucket, sized by its own members, and answers each chunk's probes fr
 broadcast, so no level is left out, and a part is as large as its bucket, not as the corpus.
 
 Probabilities are Jelinek and Mercer's: a bigram share of the history's count and a unigram share,
-weighted by the history's count level; the weights come from expectation-maximisation over the
-training texts of FIT_CHUNKS chunks, each token left out of its own counts.
+weighted by the history's count level; the weights come from expectation-maximisation over all
+training tokens, summed by their levels, each token left out of its own counts.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ CHUNK_BYTES, OWNER_BYTES, CHUNKS, OWNERS = 8 << 20, 32 << 20, 64, 16
 BITS, PROBES = 10, 5
 #: Base of the count levels, and their number.
 BASE, LEVELS = 1.5, 64
-FIT_CHUNKS, FIT_ROUNDS = 2, 20
+#: Rounds of the fit, and the tokens that its prior counts as.
+FIT_ROUNDS, PRIOR = 20, 1.0
 KEY_BITS = 48
 _EDGES = np.array(sorted({math.ceil(BASE**k) for k in range(LEVELS + 8)}), np.int64)
 
@@ -264,13 +265,13 @@ def score_texts(df: DataFrame, column: str = "text", key: str = "doc_id", folds:
         base = np.log10((counts + 1) / (n + v + 1))[c.tokens]
         both = np.stack([words[c.tokens], pairs], axis=1).tobytes()
         levels = pa.array([both[2 * a : 2 * b] for a, b in zip(c.offsets[:-1], c.offsets[1:])], pa.binary())
-        return pa.table([left.column("chunk"), left.column("key"), left.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(add((counts > 0)[c.tokens].astype(np.int64))), pa.array(add(base)), levels], ["chunk", "key", "held_out", "n_tokens", "n_known", "base_score", "levels"])
+        return pa.table([left.column("key"), left.column("held_out"), pa.array(np.diff(c.offsets)), pa.array(add((counts > 0)[c.tokens].astype(np.int64))), pa.array(add(base)), levels], ["key", "held_out", "n_tokens", "n_known", "base_score", "levels"])
 
     kind = df.schema[key].dataType.simpleString()
     replies = owned.where("chunk >= 0").select("chunk", "owner", "payload")
-    found = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(look_up, f"chunk long, key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, levels binary")
+    found = rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(look_up, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, levels binary")
     found = written(found, "lm-levels")
-    weights = _fit(found.where(F.col("chunk") < FIT_CHUNKS), n, v)
+    weights = _fit(found, n, v)
 
     def score(batches):
         for b in batches:
@@ -304,6 +305,8 @@ def _weights(code: np.ndarray, times: np.ndarray, n: int, v: int) -> np.ndarray:
     w, total = np.full(LEVELS + 8, 0.5), np.bincount(at, times, LEVELS + 8)
     for _ in range(FIT_ROUNDS):
         a = w[at] * high
-        w = np.bincount(at, times * a / (a + (1 - w[at]) * low), LEVELS + 8) / np.maximum(total, 1)
+        bigram = np.bincount(at, times * a / (a + (1 - w[at]) * low), LEVELS + 8)
+        every = bigram.sum() / max(total.sum(), 1)  # a level without tokens takes the weight of all
+        w = (bigram + PRIOR * every) / (total + PRIOR)
     w[0] = 0.0
     return np.clip(w, 0, 0.999)

@@ -1,5 +1,8 @@
 """Operators do the whole of what they name: no count, pattern or row is left out."""
 
+import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -7,6 +10,9 @@ import pyarrow as pa
 
 from fotolith.llm import lm
 
+DATA = "/root/testdata/sf0.001"
+
+
 def test_bigrams_seen_once_are_found():
     texts = [f"w{i} w{i + 1} w{i + 2}" for i in range(0, 6000, 2)]
     chunk = pa.table({"chunk": [0] * len(texts), "text": texts, "held_out": [i % 5 == 0 for i in range(len(texts))]})
@@ -19,3 +25,26 @@ def test_bigrams_seen_once_are_found():
     exact = lm.level(np.array([times[k] for k in c.bigrams(np.arange(len(c.tokens))).tolist()]))
     assert (pairs >= exact).all() and (pairs[exact == 1] > 0).all() and (pairs == exact).mean() > 0.95
     assert (words >= lm.level(counts)).all() and (exact == 0).any()
+
+
+def test_scores_are_those_of_all_counts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: [""] + [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) if w] + [""] for r in docs.collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    words, pairs = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:]))
+    n, v = sum(words.values()), len(words)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs).collect()}
+    coded = Counter((int(lm.level(words[a])) << 16) + (int(lm.level(pairs[a, b])) << 8) + int(lm.level(words[b])) for t in train for a, b in zip(t, t[1:]))
+    weights = lm._weights(np.array([*coded]), np.array([*coded.values()]), n, v)
+    off = []
+    for i, t in texts.items():
+        h, p, w = (lm.level(np.array(x)) for x in ([words[a] for a in t[:-1]], [pairs[a, b] for a, b in zip(t, t[1:])], [words[b] for b in t[1:]]))
+        high, low = lm.shares(h, p, w, n, v, 0)
+        off.append(abs(got[i] - np.log10(weights[h] * high + (1 - weights[h]) * low).sum()) / len(t))
+    assert np.mean(off) < 0.02 and math.isfinite(sum(off)), np.mean(off)
+
+
+def test_levels_without_tokens_have_a_weight():
+    code = np.array([(6 << 16) + (5 << 8) + 6, (6 << 16) + 6])
+    weights = lm._weights(code, np.array([80, 20]), 1000, 100)
+    assert weights[0] == 0 and 0.5 < weights[9] < 0.9 and abs(weights[9] - weights[6]) < 0.05
