@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 
 from fotolith.llm.shared import written
 
-#: Fixed masks. Of any two substitutions in ten tokens some shift of one of them misses both.
-MASKS = ((0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 8, 9))
-#: Items with fewer tokens than the longest mask spans are hashed whole.
-SPAN = 10
 WINDOW, MATCHES = 10, 8
+#: Fixed masks by the length of the window: of any substitutions that it tolerates (two of ten tokens,
+#: one of nine to five) some shift of one mask inside the window misses all. Shorter items are hashed whole.
+MASKS = {
+    10: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)),
+    9: ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6)),
+    8: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5)),
+    7: ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    5: ((0, 1, 2), (0, 1, 3)),
+}
 BLOCK = 1_000_000
 
 
@@ -31,26 +37,21 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds(words: Column, masks=MASKS, span: int = SPAN) -> Column:
-    """array<struct<at, h>>: the hash of each mask at each place where the window fits."""
-    last = F.size(words) - span
-    at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+def masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of an item of n tokens."""
+    return MASKS.get(min(n, WINDOW), (tuple(range(n)),))
 
-    def one(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(words, i + p) for p in mask]).alias("h")))
 
-    return F.concat(*[one(k, m) for k, m in enumerate(masks)])
+def seeds(words: Column, family: list[tuple[int, ...]]) -> Column:
+    """array<struct<at, h>>: the hash of each mask at each place where it fits."""
 
-
-def whole(words: Column, sizes: list[int]) -> Column:
-    """The same of all runs of given lengths, shorter than a mask."""
-
-    def one(n: int) -> Column:
-        last = F.size(words) - n
+    def one(mask: tuple[int, ...]) -> Column:
+        last = F.size(words) - (mask[-1] + 1)
         at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(-n), *[F.get(words, i + p) for p in range(n)]).alias("h")))
+        name = F.lit(sum(1 << p for p in mask))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(name, *[F.get(words, i + p) for p in mask]).alias("h")))
 
-    return F.concat(*map(one, sizes)) if sizes else F.array().cast("array<struct<at:int,h:bigint>>")
+    return F.concat(*map(one, family))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -63,15 +64,16 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", co
     texts has a row for each text's overlaps. No document is dropped or cut, however many hits.
     """
     items = written(benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("words")).where("item is not null and size(words) > 0").distinct(), "benchmark")
-    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
-    own = seeds(F.col("words"))
-    for n in short:  # a short item has one seed, of all its tokens
-        own = F.when(F.size("words") == n, whole(F.col("words"), [n])).otherwise(own)
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())
+    own = F.array().cast("array<struct<at:int,h:bigint>>")
+    for n in sizes:
+        own = F.when(F.least(F.size("words"), F.lit(WINDOW)) == n, seeds(F.col("words"), masks(n))).otherwise(own)
+    family = sorted({m for n in sizes for m in masks(n)}) or [(0,)]
     marks = items.select("item", F.explode(own).alias("s"))
     marks = written(marks.select("item", F.col("s.at").alias("at"), F.col("s.h").alias("h")).distinct(), "seeds")
     blocks = max(1, -(-marks.count() // BLOCK))
     rows = documents.select(F.col(key).alias("key"), F.xxhash64(column).alias("version"), tokens(F.col(column)).alias("words")).where("key is not null")
-    hashes = rows.select("key", "version", F.explode(F.concat(seeds(F.col("words")), whole(F.col("words"), short))).alias("s")).select("key", "version", F.col("s.at").alias("at"), F.col("s.h").alias("h"))
+    hashes = rows.select("key", "version", F.explode(seeds(F.col("words"), family)).alias("s")).select("key", "version", F.col("s.at").alias("at"), F.col("s.h").alias("h"))
     hits = None
     for b in range(blocks):
         block = marks.where(F.pmod(F.col("h"), F.lit(blocks)) == b).select("h", "item", F.col("at").alias("item_at"))

@@ -1,5 +1,6 @@
 """Operators do the whole of what they name: no count, pattern or row is left out."""
 
+import itertools
 import math
 import re
 import zlib
@@ -8,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from fotolith.llm import lm
+from fotolith.llm import decontaminate, lm
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,3 +49,25 @@ def test_levels_without_tokens_have_a_weight():
     code = np.array([(6 << 16) + (5 << 8) + 6, (6 << 16) + 6])
     weights = lm._weights(code, np.array([80, 20]), 1000, 100)
     assert weights[0] == 0 and 0.5 < weights[9] < 0.9 and abs(weights[9] - weights[6]) < 0.05
+
+
+def test_masks_miss_no_tolerated_pattern():
+    for n in range(1, decontaminate.WINDOW + 1):
+        spare = n - math.ceil(n * decontaminate.MATCHES / decontaminate.WINDOW)
+        places = [{p + d for p in m} for m in decontaminate.masks(n) for d in range(n - m[-1])]
+        for gone in itertools.chain(*(itertools.combinations(range(n), k) for k in range(spare + 1))):
+            assert any(not p & {*gone} for p in places), (n, gone)
+
+
+def test_every_tolerated_copy_is_found(spark):
+    items, rows = [], []
+    for n in range(1, 13):
+        words = [f"t{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        width = min(n, 10)
+        for k in range(width - math.ceil(width * 8 / 10) + 1):
+            for gone in itertools.combinations(range(n), k):
+                rows.append((len(rows), n, " ".join(["a", "b", *("zz" if p in gone else w for p, w in enumerate(words)), "c"])))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, n int, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.leaks(docs, benchmark).select("doc_id", "item_id").collect()}
+    assert got == {(i, n) for i, n, _ in rows}
