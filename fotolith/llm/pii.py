@@ -3,10 +3,10 @@
 Four patterns give the base spans. Generators of high recall propose more spans, which may overlap
 them: addresses written out with (at) and (dot), and any run of at least seven digits with
 separators, as an address, a card or a telephone number by its format. Boosted trees score each
-proposal by its format and its surroundings. They are fitted on the driver on at most SAMPLE
-proposals (a proposal is positive if a base span of its kind overlaps it); half of them calibrate
-the threshold, the least score above which a share PRECISION is positive. Scoring is a CASE
-expression. Proposals over the threshold that overlap no span are added.
+proposal by its format and its surroundings. They are fitted on the driver on the distinct feature
+vectors of all proposals, weighted by their numbers (a proposal is positive if a base span of its kind
+overlaps it); half of the keys, by their hash, calibrate the threshold, the least score above which a
+share PRECISION is positive. Scoring is a CASE expression. Proposals over the threshold that overlap no span are added.
 
 Patterns are written so that matching is linear: runs are possessive, and a match may begin only at
 the start of a run or where the last match ended, the only places where the leftmost match can.
@@ -31,7 +31,7 @@ BASE = {
 PROPOSE_EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?{HOST}++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?){HOST}++)++"
 PROPOSE_NUMBER = r"(?:(?<![0-9])|\G)[+(]{0,2}[0-9](?:[\x20().:-]{0,2}[0-9])++"
 WORDS = r"(?i)phone|tel|call|mobile|fax|contact|card|visa|pay|mail|host|addr|server|ip"
-SAMPLE, PRECISION, TREES, DEPTH, RATE, BINS = 20_000, 0.98, 24, 3, 0.3, 16
+PRECISION, TREES, DEPTH, RATE, BINS = 0.98, 24, 3, 0.3, 16
 FEATURES = ("kind", "digits", "size", "separators", "groups", "plus", "luhn", "dots", "touches_before", "touches_after", "word_before", "digits_around")
 BEFORE, AFTER = 24, 16
 
@@ -116,20 +116,21 @@ def proposals(text: Column) -> Column:
 class Trees:
     """Boosted trees for the logistic loss, fitted by histograms of gradients."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE):
-        share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, times: np.ndarray | None = None):
+        self.times = np.ones(len(y)) if times is None else times
+        share = np.clip(np.average(y, weights=self.times), 1e-4, 1 - 1e-4)
         self.bias = float(np.log(share / (1 - share)))
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], weights=self.times, method="inverted_cdf")) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], axis=1)
         self.trees, score = [], np.full(len(y), self.bias)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-score))
-            self.trees.append(self._grow(binned, y - p, p * (1 - p), np.arange(len(y)), depth, rate))
+            self.trees.append(self._grow(binned, self.times * (y - p), self.times * p * (1 - p), np.arange(len(y)), depth, rate))
             score += self.values(x, self.trees[-1:])
 
     def _grow(self, binned, g, h, rows, depth, rate):
         leaf = float(rate * g[rows].sum() / (h[rows].sum() + 1.0))
-        if not depth or len(rows) < 20:
+        if not depth or self.times[rows].sum() < 20:
             return leaf
         total_g, total_h = g[rows].sum(), h[rows].sum()
         gain, choice = 1e-3, None
@@ -170,31 +171,32 @@ class Trees:
         return total
 
 
-def calibrated(scores: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+def calibrated(scores: np.ndarray, y: np.ndarray, precision: float = PRECISION, times: np.ndarray | None = None) -> float:
     """The least score from which a share `precision` is positive; infinite if there is none."""
     order = np.argsort(-scores, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    times = np.ones(len(y)) if times is None else times
+    share = np.cumsum((y * times)[order]) / np.cumsum(times[order])
     last = np.r_[scores[order][1:] != scores[order][:-1], True]  # equal scores go together
     good = np.flatnonzero((share >= precision) & last)
     return float(scores[order][good[-1]]) if len(good) else float("inf")
 
 
-def personal_spans(df: DataFrame, column: str = "text", key: str = "doc_id", sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+def personal_spans(df: DataFrame, column: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """key, `base` and `spans` (arrays of struct<kind:string,start:long,end:long>, code points, end
     exclusive, by start, then kind), and the `carry` columns.
 
     One narrow pass over the whole texts; the spans, without texts, are written to the shared folder
     for the fit and the second pass. Null and empty texts have no spans; rows are kept one for one.
-    If the sample has no positive or no negative proposal, nothing is added to the base.
+    If the half to fit on has no positive or no negative proposal, nothing is added to the base. The
+    driver gets a row for each distinct feature vector, not for each proposal.
     """
     text = F.coalesce(F.col(column), F.lit(""))
     found = df.select(F.col(key).alias("_key"), *carry, base_spans(text).alias("b"), proposals(text).alias("p"))
     hits = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
     over = F.transform("p", lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"), p["x"].alias("x"), F.exists("b", lambda b: hits(p, b) & (b["kind"] == p["kind"])).alias("positive"), F.exists("b", lambda b: hits(p, b)).alias("over")))
     found = written(found.withColumn("p", over), "personal")
-    drawn = found.where(F.size("p") > 0).select(F.explode("p").alias("p")).select("p.x", "p.positive").orderBy(F.xxhash64("x", "positive"), "x").limit(sample)
-    drawn = written(drawn, "drawn").collect()  # sample rows at most; a collected limit sends the driver as many from each task
-    score, least = fitted([(r["x"], r["positive"]) for r in drawn])
+    every = found.where(F.size("p") > 0).select((F.pmod(F.xxhash64("_key"), F.lit(2)) == 0).alias("fit"), F.explode("p").alias("p")).groupBy("fit", "p.x", "p.positive").agg(F.count("*").alias("times"))
+    score, least = fitted([(r["x"], r["positive"], r["times"], r["fit"]) for r in every.orderBy("fit", "x", "positive").collect()])
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     more = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     if score is not None:
@@ -205,15 +207,15 @@ def personal_spans(df: DataFrame, column: str = "text", key: str = "doc_id", sam
 
 
 def fitted(rows: list) -> tuple[Trees | None, float]:
-    """Trees fitted on every other row and the threshold calibrated on the rest."""
+    """Trees fitted on the rows (x, positive, times, fit) with `fit`, and the threshold calibrated on the rest."""
     if not rows:
         return None, float("inf")
     x, y = np.array([r[0] for r in rows], float), np.array([bool(r[1]) for r in rows], float)
-    fit, rest = slice(0, None, 2), slice(1, None, 2)
-    if len(set(y[fit])) < 2 or not len(y[rest]):
+    times, fit = np.array([r[2] for r in rows], float), np.array([bool(r[3]) for r in rows])
+    if len(set(y[fit])) < 2 or fit.all():
         return None, float("inf")
-    trees = Trees(x[fit], y[fit])
-    return trees, calibrated(trees.values(x[rest]), y[rest])
+    trees = Trees(x[fit], y[fit], times=times[fit])
+    return trees, calibrated(trees.values(x[~fit]), y[~fit], times=times[~fit])
 
 
 def redact(text: Column, spans: Column) -> Column:

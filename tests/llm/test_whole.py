@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from fotolith.llm import decontaminate, lm
+from fotolith.llm import decontaminate, lm, pii
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +71,22 @@ def test_every_tolerated_copy_is_found(spark):
     docs, benchmark = spark.createDataFrame(rows, "doc_id long, n int, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r) for r in decontaminate.leaks(docs, benchmark).select("doc_id", "item_id").collect()}
     assert got == {(i, n) for i, n, _ in rows}
+
+
+def test_the_fit_takes_all_proposals(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(pii, "fitted", lambda rows: taken.extend(rows) or (None, math.inf))
+    rows = [(i, "call +1 555 123 4567" if i % 3 else f"order {10_000_000 + i}") for i in range(30_000)]
+    pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r[2] for r in taken) == len(rows) and len(taken) < 100
+    assert {(r[1], r[3]) for r in taken} == {(a, b) for a in (True, False) for b in (True, False)}
+
+
+def test_weights_are_copies():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (300, 12)).astype(float)
+    y, times = (x[:, 1] + x[:, 4] > 5).astype(float), rng.integers(1, 9, 300)
+    a, b = pii.Trees(x, y, times=times.astype(float)), pii.Trees(np.repeat(x, times, axis=0), np.repeat(y, times))
+    assert np.allclose(a.values(x), b.values(x))
+    some = rng.normal(size=300).round(1)
+    assert pii.calibrated(some, y, 0.6, times) == pii.calibrated(np.repeat(some, times), np.repeat(y, times), 0.6)
