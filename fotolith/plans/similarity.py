@@ -1,4 +1,5 @@
-"""Look-alikes: the pair classifier as a column expression, and greedy anchor groups.
+"""Look-alikes: the shape term of the pair classifier as a column expression, and greedy anchor groups by
+it (C5, and part of H6 and H7: the README lists what is missing).
 
 Adapter: the first 64 components of a vector, scaled to 0..1, are an 8 x 8 luminance grid; the label is the job; `vec_id` in seconds is the capture time.
 """
@@ -6,7 +7,7 @@ Adapter: the first 64 components of a vector, scaled to 0..1, are an 8 x 8 lumin
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,37 +45,49 @@ def lookalike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("job_id", "a", "b", shape.alias("shape"), kind.alias("kind"))
 
 
+class Anchors:
+    """The newest anchors of a job: all that its next frame depends on."""
+
+    def __init__(self, limit: float = SHAPE):
+        self.limit, self.ids, self.sizes, self.grids = limit, [], np.zeros(0, int), np.zeros((0, 0))
+
+    def join(self, frame: int, flat: np.ndarray) -> int:
+        """The anchor of the next frame: the newest that is near and has room, or itself."""
+        if self.ids:
+            near = np.flatnonzero((self.sizes < MEMBERS) & (np.abs(self.grids - flat).mean(axis=1) <= self.limit))
+            if len(near):
+                self.sizes[near[-1]] += 1
+                return self.ids[near[-1]]
+        self.ids = [*self.ids, frame][-ANCHORS:]
+        self.sizes = np.append(self.sizes, 1)[-ANCHORS:]
+        self.grids = np.vstack([self.grids.reshape(-1, len(flat)), flat])[-ANCHORS:]
+        return frame
+
+
 def group_frames(grids: np.ndarray, limit: float = SHAPE) -> list[int]:
     """Greedy groups of frames in order: each joins the newest of the last anchors that is near and has
     room, or becomes an anchor. Returns each frame's anchor."""
-    anchors: list[int] = []
-    size: dict[int, int] = {}
-    out = []
-    flat = grids - grids.mean(axis=1, keepdims=True)
-    for k in range(len(flat)):
-        for a in reversed(anchors[-ANCHORS:]):
-            if size[a] < MEMBERS and np.abs(flat[k] - flat[a]).mean() <= limit:
-                size[a] += 1
-                out.append(a)
-                break
-        else:
-            anchors.append(k)
-            size[k] = 1
-            out.append(k)
-    return out
+    anchors = Anchors(limit)
+    return [anchors.join(k, flat) for k, flat in enumerate(grids - grids.mean(axis=1, keepdims=True))]
 
 
 def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of each job in order of capture. The order makes it sequential within a session of a
-    job; a job is cut into sessions of 512 seconds, so a task holds a bounded number of frames."""
-
-    def run(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values("asset_id", kind="stable")
-        at = group_frames(np.array(frames["grid"].tolist(), float))
-        return pd.DataFrame({"job_id": frames["job_id"].to_numpy(), "asset_id": frames["asset_id"].to_numpy(), "anchor_id": frames["asset_id"].to_numpy()[at]})
-
-    d = descriptors(spark, sf_dir).withColumn("session", F.floor(F.col("asset_id") / 512))
-    groups = d.groupBy("job_id", "session").applyInPandas(run, "job_id int, asset_id long, anchor_id long")
+    """Groups of each job in order of capture. The order makes it sequential within a job; its frames
+    come sorted, batch by batch, and a task holds a batch and the newest anchors."""
+
+    def run(batches):
+        job, anchors = object(), Anchors()
+        for b in batches:
+            out = []
+            for j, frame, grid in zip(*(b.column(x).to_pylist() for x in ("job_id", "asset_id", "grid"))):
+                if j != job:
+                    job, anchors = j, Anchors()
+                flat = np.array(grid, float)
+                out.append(anchors.join(frame, flat - flat.mean()))
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("asset_id"), pa.array(out, pa.int64())], ["job_id", "asset_id", "anchor_id"])
+
+    d = descriptors(spark, sf_dir).select(F.col("job_id").cast("int").alias("job_id"), F.col("asset_id").cast("long").alias("asset_id"), "grid")
+    groups = d.repartition("job_id").sortWithinPartitions("job_id", "asset_id").mapInArrow(run, "job_id int, asset_id long, anchor_id long")
     return groups.withColumn("group_size", F.count("*").over(Window.partitionBy("job_id", "anchor_id")))
 
 
