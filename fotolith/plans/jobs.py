@@ -1,4 +1,4 @@
-"""Jobs, assets and warnings: counts, filters, pages, sorts.
+"""Jobs, assets and warnings: counts, filters, pages, sorts.
 
 Adapter: a customer is a job, an order an asset of it, an event a warning of the job `user_id`.
 """

@@ -1,4 +1,4 @@
-"""Ratings: event-sourced user state over machine ratings, histogram, filters.
+"""Ratings: event-sourced user state over machine ratings, histogram, filters (E7, C3, D3, and B5 but for its copies).
 
 Adapter: an event is a rating event of the asset `user_id` (value in steps of 20 gives 1 to 5, an
 error clears the rating); an order line's quantity and discount give the machine's score.

@@ -1,5 +1,5 @@
 """Edit documents: numbering, retention, change detection, upserts, matching of names
-(E4-E6, C10-C13, C20, A15, A16, D20, D21, H3).
+(E4-E6, C10-C12, C20, A15, D20, H3).
 
 Adapter: a customer's orders are the revisions of one document, the price their payload.
 """

@@ -1,5 +1,5 @@
 """Learning: leak-free split, weighted statistics, errors, linear prediction and its fit
-(E8, D16-D18, M1, M2, M5-M7).
+(E8, D16-D18, M1, M2, M5, M7).
 
 Adapter: an order line is an example, its order the scene; price is the target.
 """
