@@ -14,11 +14,14 @@ Near copies of any number become one component by one comparison each: classes w
 permuted token of the probe are held against one leader of theirs. Groups of similar classes: the
 components found so, and of classes without one those whose probes have the same most shared token; in
 pieces of at most about GROUP members and TOKENS tokens. The matrix has a row for each probe token and
-piece. A query opens a piece if they share a probe token, their sizes fit, and enough of its probe is
-in the piece's union; a component's pieces are never opened from within. Of what is opened, only
-pieces with a member that may be linked are compared by whole sets, inside one task each, which
-returns a forest of the links and not each pair. The work left for a family of m classes close to
-each other but not linked is about m * m / GROUP pieces opened.
+piece: the piece's union of tokens, with the least and largest size of its members and the place up to
+which all their probes tell everything. A query that shares a probe token with a piece opens it only if
+the sizes fit and the overlap is bounded high enough: its tokens before the first one in the union are
+in no member, nor are those that the union lacks up to that place, and either number may be no more
+than two linked sets of these sizes can differ by. A component's pieces are never opened from within.
+Of what is opened, only pieces with a member that may be linked are compared by whole sets, inside one
+task each, which returns a forest of the links and not each pair. The work left for a family of m
+classes close to each other but not linked is about m * m / GROUP pieces opened.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import slices
 from fotolith.llm.components import components
-from fotolith.llm.shared import bounded_batches, written
+from fotolith.llm.shared import bounded_batches, dropped, written
 from fotolith.llm.words import hash_strings, mix64, shingle_hashes, split_words
 
-#: A token among the least of at least FREQUENT sets is frequent; the order knows at most LISTED of
-#: them, those in most sets.
-FREQUENT, LISTED = 16, 1 << 18
+#: A token among the least of at least FREQUENT sets is frequent, counted on a share 1 / SAMPLED of the
+#: texts by their hash; the order knows at most LISTED of them, those in most sets.
+SAMPLED, FREQUENT, LISTED = 8, 3, 1 << 18
 #: Members of a piece and queries of a task at most, and tokens of either side, all by expectation.
 GROUP, QUERIES, TOKENS = 256, 1024, 1 << 20
+#: Bytes of text that a worker takes apart at a time, about.
+SLICE = 1 << 20
 SEED = np.uint64(0x5851F42D4C957F2D)
 HEAVY, ALL = np.uint64(1 << 63), np.uint64(2**64 - 1)
 
@@ -93,93 +98,121 @@ def jaccard_components(df: DataFrame, width: int = 4, num: int = 85, den: int =
 
     A set holds the distinct runs of `width` words, or all words if fewer; null and empty texts have
     none and are linked with nothing, not even each other. Links: den * |A and B| >= num * |A or B|,
-    exact up to collisions of 64-bit hashes. Rows with equal keys count as one node. Rows whose key is null have a
-    null component.
+    exact up to collisions of 64-bit hashes. Rows with equal keys are one node, whatever their texts.
+    Rows whose key is null have a null component, and join nothing.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))
     bounded_batches(df)
+    spark = df.sparkSession
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), width)
             first = [s[: 2 * probe_size(len(s), num, den)] for s in {s.tobytes(): s for s in sets}.values() if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64) if first else [], pa.int64())], ["h"])
 
-    often = rows.select("text").mapInArrow(least, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    some = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    often = some.mapInArrow(least, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
     top = [(r["h"] & (2**64 - 1), r["count"]) for r in often.orderBy(F.desc("count"), "h").limit(LISTED).collect()]
     top = sorted((t, k) for k, (t, _) in enumerate(reversed(top)))
-    frequent = df.sparkSession.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([k for _, k in top], np.uint64)))
+    frequent = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([k for _, k in top], np.uint64)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), width)
             probes = [probe(s, num, den, *frequent.value) if len(s) else (none, 0.0) for s in sets]
+            ends = [p[-1] if 0 < len(p) < len(s) else ALL for (p, _), s in zip(probes, sets)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([p.view(np.int64) for p, _ in probes], pa.list_(pa.int64())), pa.array([x for _, x in probes], pa.float64()),
+                    part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([named(s) for s in sets], pa.int64()),
+                    pa.array([p.view(np.int64) for p, _ in probes], pa.list_(pa.int64())), pa.array((np.array(ends, np.uint64) ^ HEAVY).view(np.int64)), pa.array([x for _, x in probes], pa.float64()),
                     pa.array([int(p[0].view(np.int64)) if len(p) else None for p, _ in probes], pa.int64()), pa.array([int(mix64(p ^ SEED).min().view(np.int64)) if len(p) else None for p, _ in probes], pa.int64()),
                 ],
-                ["key", "n", "class", "probe", "light", "m0", "m1"],
+                ["key", "n", "node", "probe", "last", "light", "m0", "m1"],
             )
 
-    signed = written(rows.mapInArrow(sign, f"key {kind}, n long, class binary, probe array<long>, light double, m0 long, m1 long"), "signatures")
-    classes = written(signed.where("n > 0 and key is not null").groupBy("class").agg(F.min("key").alias("rep")), "classes")
-    links = _links(rows, signed, classes, width, num, den, kind)
-    found = components(links)
-    label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
-    same = signed.select("key", "n", "class").join(label, "class", "left").select("key", "n", F.coalesce("component_id", "key").alias("component_id"))
-    return same.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    signed = rows.mapInArrow(sign, f"key {kind}, n long, node long, probe array<long>, last long, light double, m0 long, m1 long")
+    # rows without a set are classes by their key, so that equal keys still meet
+    signed = written(signed.withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64(F.lit("none"), "key"))), "signatures")
+    frequent.destroy()
+    classes = written(signed.where("key is not null").groupBy("node").agg(F.min("key").alias("rep"), F.max("n").alias("n")), "classes")
+    links = _links(rows, signed, classes.where("n > 0"), width, num, den)
+    by_key = signed.where("key is not null").groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("x")).where("u <> x").select("key", "u")
+    same_key = signed.select("key", F.col("node").alias("v")).join(by_key, "key").where("u <> v").select("u", "v").distinct()
+    found = written(components(links.unionAll(same_key)), "joined").join(classes, "node").select("node", "component", "rep")
+    label = found.select("node", "component").join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    label = classes.join(label, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.select("key", "n", "node").join(label, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = written(out, "components")
+    dropped(signed, classes, links)
+    return out
+
+
+def named(tokens: np.ndarray) -> int | None:
+    """The 64-bit name of a set, by its tokens; null of an empty one."""
+    return int.from_bytes(hashlib.md5(tokens).digest()[:8], "little", signed=True) if len(tokens) else None
 
 
-def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
-    """Links (u, v) between classes, enough of them for the components."""
-    some = signed.join(classes.select(F.col("rep").alias("key")), "key", "left_semi")
-    tokens = some.select("key", F.explode("probe").alias("h"))
+def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) between classes, by their nodes, enough of them for the components."""
+    first = signed.join(classes.select("node", F.col("rep").alias("key")), ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
+    tokens = first.select("node", F.posexplode("probe").alias("at", "h"))
     shared = tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    tokens = written(tokens.join(shared, "h").distinct(), "tokens")  # h, key, c
-    near = tokens.select("key").distinct()
-    some = written(some.join(near, "key", "left_semi").dropDuplicates(["key"]), "probes")
+    tokens = written(tokens.join(shared, "h"), "tokens")  # h, node, at, c
+    some = written(first.join(tokens.select("node").distinct(), "node", "left_semi"), "probes")
+    of = some.select("node", "key")
 
     stars = None
     for m in ("m0", "m1"):
-        lead = some.groupBy(m).agg(F.min(F.struct("light", "key")).alias("x"), F.count("*").alias("size")).where("size > 1").select(m, F.col("x.key").alias("leader"))
-        lead = lead.join(some.select(F.col("key").alias("leader"), F.col("probe").alias("other"), F.col("n").alias("on")), "leader")
-        fit = (F.col("n") * den >= F.col("on") * num) & (F.col("on") * den >= F.col("n") * num) & (F.col("key") != F.col("leader"))
-        part = some.select("key", "probe", "n", F.col(m).alias("by")).join(lead.withColumnRenamed(m, "by"), "by").where(fit)
-        part = part.select("key", "probe", "n", "leader", "other", "on")
+        lead = some.groupBy(m).agg(F.min(F.struct("light", "node")).alias("x"), F.count("*").alias("size")).where("size > 1").select(m, F.col("x.node").alias("leader"))
+        lead = lead.join(some.select(F.col("node").alias("leader"), F.col("probe").alias("other"), F.col("n").alias("on")), "leader")
+        fit = (F.col("n") * den >= F.col("on") * num) & (F.col("on") * den >= F.col("n") * num) & (F.col("node") != F.col("leader"))
+        part = some.select("node", "probe", "n", F.col(m).alias("by")).join(lead.withColumnRenamed(m, "by"), "by").where(fit)
+        part = part.select("node", "probe", "n", "leader", "other", "on")
         stars = part if stars is None else stars.unionAll(part)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [may_link(x, n, y, m, num, den) for x, n, y, m in zip(_codes(b.column("probe")), b.column("n").to_pylist(), _codes(b.column("other")), b.column("on").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    stars = written(_verified(rows, written(stars.mapInArrow(sketch, f"u {kind}, v {kind}").distinct(), "stars"), width, num, den, kind), "star-links")
-    most = tokens.groupBy("key").agg(F.max(F.struct("c", "h"))["h"].alias("top"))
-    groups = some.select("key", "n").join(most, "key").join(components(stars).withColumnRenamed("node", "key"), "key", "left")
+    sketched = written(stars.mapInArrow(sketch, "u long, v long").distinct(), "stars")
+    stars = written(_verified(rows, of, sketched, width, num, den), "star-links")
+    most = tokens.groupBy("node").agg(F.max(F.struct("c", "h"))["h"].alias("top"))
+    groups = some.select("node", "n", "last").join(most, "node").join(components(stars), "node", "left")
     name = F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat(F.lit("t"), F.col("top").cast("string")))
-    groups = groups.select("key", "n", name.alias("group"), F.col("component").isNull().alias("loose"))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"), _parts(GROUP).alias("pieces"))
-    groups = written(groups.join(sizes, "group").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces"))).drop("pieces"), "groups")
-
-    by_token = tokens.drop("c").join(groups, "key")
-    matrix = by_token.groupBy("h", "group", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("size").alias("size"), F.max("loose").alias("loose"))
-    asked = by_token.select("h", F.col("key").alias("query"), "n", F.struct("size", "group", "piece").alias("mine"))
+    groups = written(groups.select("node", "n", "last", name.alias("group"), F.col("component").isNull().alias("loose")), "named")
+    sizes = written(groups.groupBy("group").agg(F.count("*").alias("size"), _parts(GROUP).alias("pieces")), "sizes")
+    sized = written(groups.join(sizes, "group").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces"))).drop("pieces"), "groups")
+    dropped(sketched, groups, sizes)
+    groups = sized
+
+    by_token = tokens.drop("c").join(groups, "node")
+    unions = groups.groupBy("group", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("last").alias("end"), F.max("size").alias("size"), F.max("loose").alias("loose"))
+    matrix = by_token.select("h", "group", "piece").distinct().join(unions, ["group", "piece"])
+    asked = by_token.select("h", "at", F.col("node").alias("query"), "n", F.struct("size", "group", "piece").alias("mine"))
     its = F.struct("size", "group", "piece")
     other = ((F.col("mine.group") != F.col("group")) | F.col("loose")) & ((F.col("mine") < its) | ((F.col("mine") == its) & (F.col("size") > 1)))
     fit = other & (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
-    opened = written(asked.join(matrix, "h").where(fit).select(F.col("query").alias("key"), "n", "group", "piece").distinct(), "opened")
+    known = F.col("h").bitwiseXOR(F.lit(-(1 << 63))) <= F.col("end")
+    met = asked.join(matrix, "h").where(fit).groupBy(F.col("query").alias("node"), "n", "group", "piece", "high").agg(F.min("at").alias("first"), F.max(F.when(known, F.col("at") + 1)).alias("known"), F.count_if(known).alias("found"))
+    missing = F.greatest(F.col("first"), F.coalesce(F.col("known") - F.col("found"), F.lit(0)))
+    opened = written(met.where(missing * (den + num) <= (den - num) * (F.col("n") + F.col("high"))).select("node", "n", "group", "piece"), "opened")
+    dropped(tokens)
 
     def near_group(queries: pa.Table, members: pa.Table) -> pa.Table:
-        sides = [(_codes(t.column("probe").combine_chunks()), t.column("n").to_numpy(), t.column("key").to_pylist()) for t in (queries, members)]
-        return queries.select(["key", "n", "group", "piece"]).filter(pa.array(near_queries(*sides[0], *sides[1], num, den), pa.bool_()))
-
-    left, right = _sides(opened, groups, some.select("key", "probe"))
-    hits = left.cogroup(right).applyInArrow(near_group, f"key {kind}, n long, group string, piece long")
-    return stars.unionAll(_forest(rows, written(hits, "hits"), groups, width, num, den, kind))
+        sides = [(_codes(t.column("probe").combine_chunks()), t.column("n").to_numpy(), t.column("node").to_pylist()) for t in (queries, members)]
+        return queries.select(["node", "n", "group", "piece"]).filter(pa.array(near_queries(*sides[0], *sides[1], num, den), pa.bool_()))
+
+    left, right, many = _sides(opened, groups, some.select("node", "probe"))
+    hits = written(left.cogroup(right).applyInArrow(near_group, "node long, n long, group string, piece long"), "hits")
+    dropped(opened, many)
+    forest_links = _forest(rows, of, hits, groups, width, num, den)
+    out = written(stars.unionAll(forest_links), "links")
+    dropped(stars, hits, groups, some)
+    return out
 
 
 def _parts(rows: int) -> Column:
@@ -187,33 +220,37 @@ def _parts(rows: int) -> Column:
     return F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / TOKENS))
 
 
-def _sides(opened: DataFrame, groups: DataFrame, what: DataFrame) -> tuple[GroupedData, GroupedData]:
-    """Queries (key, n, group, piece) and members of the pieces they open, with the columns of what:
-    a piece's queries are split into parts, each of which gets the piece's members."""
-    by, many = ["group", "piece", "part"], opened.groupBy("group", "piece").agg(_parts(QUERIES).alias("parts"))
-    left = opened.join(many, ["group", "piece"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts").join(what, "key")
-    right = groups.join(many, ["group", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").join(what, "key")
+def _sides(opened: DataFrame, groups: DataFrame, what: DataFrame) -> tuple[GroupedData, GroupedData, DataFrame]:
+    """Queries (node, n, group, piece) and members of the pieces they open, with the columns of what:
+    a piece's queries are split into parts, each of which gets the piece's members; and the table of
+    the parts, which is a table so that Spark can split the rows of a piece that meet it."""
+    by = ["group", "piece", "part"]
+    many = written(opened.groupBy("group", "piece").agg(_parts(QUERIES).alias("parts")), "parts")
+    left = opened.join(many, ["group", "piece"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts").join(what, "node")
+    right = groups.join(many, ["group", "piece"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").join(what, "node")
     left, right = (d.select(*(F.col(c).alias(c) for c in d.columns)) for d in (left, right))  # else the columns of one table on both sides are ambiguous
-    return left.groupBy(*by), right.groupBy(*by)
+    return left.groupBy(*by), right.groupBy(*by), many
 
 
-def _forest(rows: DataFrame, hits: DataFrame, groups: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
+def _forest(rows: DataFrame, of: DataFrame, hits: DataFrame, groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links between queries and members of the pieces they hit, by whole sets; of each task those
     that join what no other link of it has joined."""
     members = groups.join(hits.select("group", "piece").distinct(), ["group", "piece"], "left_semi")
-    sets = _sets(rows, hits.select("key").unionAll(members.select("key")).distinct(), width, kind)
-    schema = pa.schema([("u", signed_type(kind)), ("v", signed_type(kind))])
+    sets = _sets(rows, of, hits.select("node").unionAll(members.select("node")).distinct(), width)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
         if not len(queries) or not len(members):
             return schema.empty_table()
         q, m = ([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens").combine_chunks()] for t in (queries, members))
-        keys, others = queries.column("key").to_pylist(), members.column("key").to_pylist()
+        keys, others = queries.column("node").to_pylist(), members.column("node").to_pylist()
         out = forest(q, keys, m, others, members.column("loose")[0].as_py(), num, den)
         return pa.table({"u": [u for u, _ in out], "v": [v for _, v in out]}, schema=schema)
 
-    left, right = _sides(hits, members, sets)
-    return left.cogroup(right).applyInArrow(compare, f"u {kind}, v {kind}")
+    left, right, many = _sides(hits, members, sets)
+    out = written(left.cogroup(right).applyInArrow(compare, "u long, v long"), "forest")
+    dropped(sets, many)
+    return out
 
 
 def _codes(lists: pa.Array) -> list[np.ndarray]:
@@ -222,32 +259,34 @@ def _codes(lists: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _sets(rows: DataFrame, keys: DataFrame, width: int, kind: str) -> DataFrame:
-    """(key, tokens) of these keys: whole sets, sorted, as bytes."""
+def _sets(rows: DataFrame, of: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of these nodes: whole sets, sorted, as bytes. of: the key of a row with each node."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())], ["key", "tokens"])
+        for part in slices(batches, "text", SLICE):
+            sets = shingle_sets(part.column("text"), width)
+            yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    sets = rows.join(written(keys, "ends"), "key", "left_semi").where("text is not null").mapInArrow(whole, f"key {kind}, tokens binary")
-    return written(sets.dropDuplicates(["key"]), "sets")
+    ends = written(of.join(nodes, "node", "left_semi"), "ends")
+    sets = rows.join(ends.select("key").distinct(), "key", "left_semi").where("text is not null").mapInArrow(whole, "node long, tokens binary")
+    sets = written(sets.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")  # a key may have other texts
+    dropped(ends)
+    return sets
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
+def _verified(rows: DataFrame, of: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) that are linked, by their whole sets."""
-    sets = _sets(rows, pairs.select(F.col("u").alias("key")).unionAll(pairs.select(F.col("v").alias("key"))).distinct(), width, kind)
+    sets = _sets(rows, of, pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct(), width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(b.column("a"), b.column("b"))]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("tokens").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(compare, f"u {kind}, v {kind}")
-
-
-def signed_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
+    out = written(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
+    dropped(sets)
+    return out
 
 
 def postings(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +309,7 @@ def near_queries(queries: list[np.ndarray], sizes: np.ndarray, keys: list, membe
     if not queries or not members:
         return [False] * len(queries)
     tokens, holder = postings(members)
-    last = np.array([m[-1] if len(m) < n else ALL for m, n in zip(members, others)], np.uint64).max()
+    last = np.array([m[-1] if len(m) < n else ALL for m, n in zip(members, others)], np.uint64).min()  # what every member's probe tells
     high, out = int(others.max()), []
     for q, n, key in zip(queries, sizes.tolist(), keys):
         found, each = overlaps(q, tokens, holder, len(members))
