@@ -4,7 +4,7 @@ The text's likelihood under each language is a model of byte trigrams, fitted on
 labelled rows. It is joined with three other kinds of evidence, whose tables come from grouped
 aggregation over all rows, by the language that the text alone suggests: what language the markup
 declares, the address's suffix, and the host. Host priors are smoothed towards those of the host's
-domain, and these towards all rows. A row's evidence from host and domain leaves the row itself out.
+domain, and these towards all rows. A row is left out of each table that it meets.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from fotolith.llm.bpe import slices
 from fotolith.llm.shared import bounded_batches, written
 
-#: Labelled rows in the fit, at most, and languages.
-SAMPLE, LANGUAGES = 3_000, 64
+#: Labelled rows in the fit, at most; every language among them is known.
+SAMPLE = 3_000
+#: Bytes of text that a worker takes apart at a time, about.
+SLICE = 1 << 20
 CODES = 1 << 16
 #: Weight of the next level in the host's and the domain's counts, and of an even spread elsewhere.
 HOST, DOMAIN, EVEN = 8.0, 16.0, 1.0
@@ -77,7 +79,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            for part in slices(iter([b]), "text"):
+            for part in slices(iter([b]), "text", SLICE):
                 codes, offsets = trigrams(part.column("text"))
                 langs = part.column("lang").to_pylist()
                 which = np.repeat(np.arange(len(langs)), np.diff(offsets))
@@ -91,12 +93,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     sums: dict[str, np.ndarray] = {}
     for r in parts:
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
-    names = sorted(sorted(sums, key=lambda k: (-sums[k].sum(), k))[:LANGUAGES])
+    names = sorted(sums)
     return Model(names, np.array([sums[k] for k in names]) if names else np.zeros((0, CODES)))
 
 
-def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column) -> DataFrame:
-    """key, lang, confidence (its posterior), text_lang (by the text alone) and accepted, for each row.
+def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Column, suffix: Column, host: Column, domain: Column, **carry: Column) -> DataFrame:
+    """key, lang, confidence (its posterior), text_lang (by the text alone) and accepted, and the columns
+    to carry, for each row.
 
     Rejected: texts without a letter, texts that every language makes less likely than evenly spread
     trigrams, and posteriors below LEAST. Null evidence counts as none; null and empty texts are
@@ -111,7 +114,7 @@ def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             like, n = m.likelihoods(part.column("text"))
             fine = n > 0
             best = like.argmax(axis=1) if len(m.names) else np.zeros(len(n), int)
@@ -120,11 +123,12 @@ def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Colu
                 like = np.clip((like - like.max(axis=1, keepdims=True)) * SHARE, -MOST, 0)
             else:
                 fine = np.zeros(len(n), bool)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("declared"), part.column("suffix"), part.column("host"), part.column("domain"), pa.array(like.tolist(), pa.list_(pa.float64())), pa.array(best.astype(np.int32)), pa.array(fine)], ["key", "declared", "suffix", "host", "domain", "like", "best", "fine"])
+            yield pa.RecordBatch.from_arrays([*(c for c, f in zip(part.columns, part.schema) if f.name != "text"), pa.array(like.tolist(), pa.list_(pa.float64())), pa.array(best.astype(np.int32)), pa.array(fine)], [*(f.name for f in part.schema if f.name != "text"), "like", "best", "fine"])
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((declared, "declared"), (suffix, "suffix"), (host, "host"), (domain, "domain"))])
-    rows = written(rows.mapInArrow(run, f"key {kind}, declared string, suffix string, host string, domain string, like array<double>, best int, fine boolean"), "likelihoods")
+    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((declared, "declared"), (suffix, "suffix"), (host, "host"), (domain, "domain"))], *[c.alias(f"_{n}") for n, c in carry.items()])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    rows = written(rows.mapInArrow(run, f"{kept}, like array<double>, best int, fine boolean"), "likelihoods")
+    sent.destroy()
     size = len(names)
     each = F.array(*[F.count_if(F.col("best") == k).cast("double") for k in range(size)]) if size else F.array().cast("array<double>")
     fine = rows.where("fine")
@@ -132,44 +136,49 @@ def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Colu
     total = fine.groupBy().agg(each.alias("n")).first()["n"]
     spread = [(x + EVEN) / (sum(total) + EVEN * size) for x in total]
     even = F.array(*map(F.lit, spread)) if size else F.array().cast("array<double>")
+    totals = F.array(*map(F.lit, total)) if size else even
+    none = F.transform(even, lambda x: F.lit(0.0))
 
-    def share_of(column: str) -> DataFrame:
-        """log P(value | language), up to a factor that the languages share."""
-        t = fine.where(F.col(column) != "").groupBy(column).agg(each.alias("n"))
-        return t.select(column, F.zip_with("n", F.array(*map(F.lit, total)) if size else even, lambda a, b: F.log((a + EVEN) / (b + EVEN * 2))).alias(f"by_{column}"))
-
-    domains = fine.where("domain <> ''").groupBy("domain").agg(each.alias("domain_n"))
-    hosts = fine.where("host <> ''").groupBy("host").agg(each.alias("host_n"))
     found = rows
-    for t, on in ((share_of("declared"), "declared"), (share_of("suffix"), "suffix"), (domains, "domain"), (hosts, "host")):
-        found = found.join(t, on, "left")
+    for on in ("declared", "suffix", "domain", "host"):
+        found = found.join(fine.where(F.col(on) != "").groupBy(on).agg(each.alias(f"{on}_n")), on, "left")
     own = F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), lambda k: (F.col("fine") & (F.col("best") == k)).cast("double")) if size else even
     less = lambda c: F.zip_with(F.coalesce(c, F.transform(own, lambda x: x)), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    found = found.withColumn("domain_n", less(F.col("domain_n"))).withColumn("host_n", less(F.col("host_n")))
+    for on in ("declared", "suffix", "domain", "host"):
+        found = found.withColumn(f"{on}_n", less(F.col(f"{on}_n")))
+
+    def share_of(on: str) -> Column:
+        """log P(value | language), up to a factor that the languages share; nothing if no other row has the value."""
+        others = F.zip_with(F.col(f"{on}_n"), F.zip_with(totals, own, lambda n, o: F.greatest(n - o, F.lit(0.0))), lambda a, n: F.log((a + EVEN) / (n + EVEN * 2)))
+        return F.when((F.col(on) != "") & (add(F.col(f"{on}_n")) > 0), others).otherwise(none)
+
     found = found.withColumn("domain_p", F.zip_with("domain_n", even, lambda a, e: (a + DOMAIN * e) / (add(F.col("domain_n")) + DOMAIN)))
     found = found.withColumn("prior", F.zip_with("host_n", "domain_p", lambda a, p: (a + HOST * p) / (add(F.col("host_n")) + HOST)))
-    none = F.transform(even, lambda x: F.lit(0.0))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    found = found.withColumn("sum", plus(plus("like", F.transform("prior", lambda p: F.log(p))), plus(F.coalesce("by_declared", none), F.coalesce("by_suffix", none))))
+    found = found.withColumn("sum", plus(plus("like", F.transform("prior", lambda p: F.log(p))), plus(share_of("declared"), share_of("suffix"))))
     top = F.array_max("sum")
     found = found.withColumn("confidence", 1 / add(F.transform("sum", lambda x: F.exp(x - F.array_max("sum")))))
     label = F.array(*map(F.lit, names)) if size else F.array().cast("array<string>")
     lang = F.get(label, (F.array_position("sum", top) - 1).cast("int"))
     accepted = F.col("fine") & (F.col("confidence") >= LEAST)
-    return found.select(F.col("key").alias(key), F.when(F.col("fine"), lang).alias("lang"), F.when(F.col("fine"), F.round("confidence", 6)).alias("confidence"), F.when(F.col("fine"), F.get(label, F.col("best"))).alias("text_lang"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
+    return found.select(F.col("key").alias(key), F.when(F.col("fine"), lang).alias("lang"), F.when(F.col("fine"), F.round("confidence", 6)).alias("confidence"), F.when(F.col("fine"), F.get(label, F.col("best"))).alias("text_lang"), F.coalesce(accepted, F.lit(False)).alias("accepted"), *[F.col(f"_{n}").alias(n) for n in carry])
 
 
-def document_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """Documents: the source is the host (its letters the domain), `lang` what is declared."""
+def document_languages(documents: DataFrame, model: Model | None = None, declared: str | None = "lang", **carry: Column) -> DataFrame:
+    """Documents: the source is the host (its letters the domain), `declared` the column of the language
+    that came with the document, if any."""
     model = model or fit(documents)
-    return identify(documents, model, "doc_id", F.col("text"), F.col("lang"), F.lit(None), F.col("source"), F.regexp_replace("source", "[0-9]+$", ""))
+    said = F.col(declared) if declared else F.lit(None)
+    return identify(documents, model, "doc_id", F.col("text"), said, F.lit(None), F.col("source"), F.regexp_replace("source", "[0-9]+$", ""), **carry)
 
 
 def page_languages(pages: DataFrame, model: Model) -> DataFrame:
-    """Pages: the text without markup, the lang attribute, the path's or else the host's suffix."""
+    """Pages: the text without markup, the first html tag's lang attribute, the path's or else the host's
+    suffix. Scripts, styles and comments that aren't closed go to the end. Patterns take linear time."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
     path = F.lower(F.regexp_extract("url", r"://[^/]*/([A-Za-z]{2})(?:/|$)", 1))
     suffix = F.when(path != "", F.concat(F.lit("/"), path)).otherwise(F.regexp_extract(host, r"\.([a-z]+)$", 1))
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]{0,400}?\slang=[\"']?([A-Za-z]+)", 1))
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*+>.*?</\1>|<!--.*?-->", " "), r"<[^>]*+>", " ")
+    declared = F.lower(F.regexp_extract(F.regexp_extract("html", r"(?i)<html\b([^>]*+)", 1), r"(?i)\slang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    hidden = r"(?is)<(script|style)\b[^>]*+(?:>.*?(?:</\1|\z)|\z)|<!--.*?(?:-->|\z)"
+    text = F.regexp_replace(F.regexp_replace("html", hidden, " "), r"<[^<>]*+>", " ")
     return identify(pages, model, "page_id", text, declared, suffix, host, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
