@@ -20,16 +20,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in no known language; `lang` becomes the language found. Rows with a null
-    doc_id are rejected, as later stages can't name them."""
-    found = language.document_languages(docs).where("accepted").select("doc_id", F.col("lang").alias("_lang")).distinct()
-    return docs.join(found, "doc_id").withColumn("lang", F.col("_lang")).select(*COLUMNS)
+    doc_id are rejected, as later stages can't name them.
+
+    Only the rows that change are joined, by their key and a hash of the row, so that texts aren't
+    shuffled as long as these rows are few, and equal keys keep apart.
+    """
+    version = F.xxhash64("text", "lang", "source")
+    found = language.document_languages(docs, version=version, was=F.col("lang"))
+    other = ~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("was"))
+    changes = written(found.where(other & F.col("doc_id").isNotNull()).select("doc_id", "version", F.col("lang").alias("_lang"), "accepted").distinct(), "changes")
+    both = docs.where("doc_id is not null").withColumn("version", version).join(changes, ["doc_id", "version"], "left")
+    return both.where(F.coalesce("accepted", F.lit(True))).withColumn("lang", F.coalesce("_lang", "lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; of repeated ids one row."""
+    """One document of each group stays, that with the least doc_id; of repeated ids the row whose
+    hash is least."""
     groups = jaccard.jaccard_components(docs, WORDS, *SHARE)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    go = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    docs = docs.where("doc_id is not null")
+    again = written(docs.select("doc_id", F.xxhash64(*COLUMNS).alias("row")).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("row").alias("row")).where("rows > 1").drop("rows"), "repeated")
+    one = docs.join(go, "doc_id", "left_anti").join(again, "doc_id", "left").where(F.col("row").isNull() | (F.xxhash64(*COLUMNS) == F.col("row"))).select(*COLUMNS)
+    if not again.take(1):
+        return one
+    rows = one.join(again.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(rows)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
