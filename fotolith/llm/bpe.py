@@ -28,16 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fotolith.llm.pieces import Pieces
 from fotolith.llm.shared import bounded_batches
 
-from fotolith.llm.words import split_words
-
 #: Rows of one slice hold about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words longer than this are merged with a heap.
 LONG = 48
-#: Words kept from slice to slice, about: once there are so many, no more are added.
-MEMO = 100_000
+#: Words and pieces kept from slice to slice, about: once there are so many, no more are added.
+MEMO, PIECES = 100_000, 300_000
 NEVER = np.int64(1) << 40
 
 
@@ -84,6 +83,8 @@ class Bpe:
         self.size = size
         self.path, self.tokenizer = path, None
         self.memo: dict[str, list[int]] = {}
+        self.kept = Pieces(self.encode_pieces, PIECES)
+        self.strings = pa.array(self.names, pa.large_string())
         self.rule_codes = np.array([r[0] for r in rules], np.int64)
         self.rule_ranks = np.array([r[1] for r in rules], np.int64)
         self.inner = {t: i for t, i in self.ids.items() if not (self.suffix and t.endswith(self.suffix))}
@@ -249,17 +250,19 @@ class Bpe:
                 out += [w for w, _ in self.library().pre_tokenizer.pre_tokenize_str(self.library().normalizer.normalize_str(part))]
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece; each distinct word is worked out once."""
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pieces one after the other, how many each has); each distinct word is worked
+        out once."""
         parts = [self.split(p) for p in pieces]
         words = list(dict.fromkeys(w for p in parts for w in p if isinstance(w, str)))
-        known = {w: t for w in words if (t := self.memo.get(w)) is not None}
-        fresh = [w for w in words if w not in known]
-        made = dict(zip(fresh, self.encode_words(fresh)[0]))
-        known |= made
+        fresh = [w for w in words if w not in self.memo]
+        known = dict(zip(fresh, self.encode_words(fresh)[0]))
         if len(self.memo) < MEMO:
-            self.memo |= {w: t for w, t in made.items() if len(w) <= LONG}
-        return [known[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in (known[w] if isinstance(w, str) else [w])] for p in parts]
+            self.memo |= {w: t for w, t in known.items() if len(w) <= LONG}
+        known |= {w: self.memo[w] for w in words if w not in known}
+        out = [known[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in (known[w] if isinstance(w, str) else [w])] for p in parts]
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter((i for t in out for i in t), np.uint32, int(sizes.sum())), sizes
 
 
 _loaded: dict[str, Bpe] = {}
@@ -293,21 +296,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def encode_column(bpe: Bpe, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(ids, decoded text) of each text."""
-    codes, pieces, offsets = split_words(texts, fold=False)
-    ids = bpe.encode_pieces(pieces.to_pylist())
-    shown = [" ".join([bpe.names[i] for i in t]) for t in ids]
-    sizes = np.array([len(t) for t in ids], np.int64)
-    flat = np.fromiter((i for t in ids for i in t), np.int32, int(sizes.sum()))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    per_word = sizes[codes]
-    ends = np.concatenate([[0], np.cumsum(per_word)])
-    take = np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[codes], per_word)
-    where = ends[offsets].astype(np.int32)
-    kept = codes[per_word > 0]
-    gone = np.concatenate([[0], np.cumsum(per_word > 0)])[offsets]
-    lookup = pa.array(shown, pa.large_string()).take(pa.array(kept))
-    text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(gone, pa.int64()), lookup), pa.scalar(" ", pa.large_string())) if len(kept) else pa.array([""] * len(texts), pa.large_string())
-    return pa.ListArray.from_arrays(pa.array(where), pa.array(flat[take])), text.cast(pa.string())
+    flat, where = bpe.kept.column(texts)
+    tokens = bpe.strings.take(pa.array(flat))
+    decoded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(where, pa.int64()), tokens), pa.scalar(" ", pa.large_string())) if len(flat) else pa.array([""] * len(texts), pa.large_string())
+    return pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat.astype(np.int32))), decoded.cast(pa.string())
 
 
 def bpe_round_trip(df: DataFrame, path: str, column: str = "text", key: str = "doc_id") -> DataFrame:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolith.llm.bpe import byte_symbols, slices
+from fotolith.llm.pieces import Pieces
 from fotolith.llm.shared import bounded_batches, new_path, text_bytes
-from fotolith.llm.words import split_words
 
 MAGIC = b"WMX1"
 BLOCK = 512
@@ -38,8 +38,8 @@ BLOCK = 512
 FILE_TOKENS = 1 << 21
 #: Bytes of text a range of documents holds, about.
 RANGE_BYTES = 16 << 20
-#: Pieces of text whose ids a worker keeps, about.
-MEMO = 1_000_000
+#: Pieces and words whose ids a worker keeps, about.
+PIECES, WORDS = 600_000, 150_000
 
 
 class WaveletMatrix:
@@ -176,12 +176,8 @@ class Encoder:
         probe = "Aqz,.! ÀÖßÿ? Z;"
         #: the vocabulary folds case and takes letters and marks apart, so that SIMPLE holds
         self.plain = self.library.normalizer is not None and self.words(probe) == ["aqz", ",.!", "àößÿ".encode().decode("latin-1").translate(self.symbols), "?", "z", ";"]
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, int] = {}
         self.known: dict[str, list[int]] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kept = Pieces(self.encode_all, PIECES)
 
     def words(self, piece: str) -> list[str] | None:
         """The library's words of a piece; None if a special token's string is in it."""
@@ -203,39 +199,21 @@ class Encoder:
         for w in words:
             if (ids := self.known.get(w)) is None:
                 ids = [t.id for t in self.library.model.tokenize(w)]
-                if len(self.known) < MEMO // 4:
+                if len(self.known) < WORDS:
                     self.known[w] = ids
             out += ids
         return out
 
+    def encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pieces one after the other, how many each has)."""
+        out = [self.encode(p) for p in pieces]
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter((i for t in out for i in t), np.uint32, int(sizes.sum())), sizes
+
     def column(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each), each text closed by `end`."""
-        codes, pieces, offsets = split_words(texts, fold=False)
-        pieces = pieces.to_pylist()
-        places = [self.memo.get(p) for p in pieces]
-        fresh = [k for k, i in enumerate(places) if i is None]
-        made = [self.encode(pieces[k]) for k in fresh]
-        if end is not None:  # one more piece: the end
-            n = np.diff(offsets)
-            codes = np.insert(codes, offsets[1:], len(pieces))
-            offsets = np.concatenate([[0], np.cumsum(n + 1)])
-            fresh.append(len(places))
-            places.append(None)
-            made.append([end])
-        base, size = len(self.starts), np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.concatenate([self.flat, np.fromiter((i for t in made for i in t), np.uint32, int(size.sum()))])
-        sizes = np.concatenate([self.sizes, size])
-        starts = np.cumsum(sizes) - sizes
-        for i, k in enumerate(fresh):
-            places[k] = base + i
-        if base + len(fresh) <= MEMO:
-            self.flat, self.sizes, self.starts = flat, sizes, starts
-            self.memo.update((pieces[k], base + i) for i, k in enumerate(fresh) if k < len(pieces))
-        codes = np.array(places, np.int64)[codes]
-        per = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(per)])
-        take = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], per)
-        return flat[take], ends[offsets[1:]] - ends[offsets[:-1]]
+        ids, where = self.kept.column(texts, end)
+        return ids, np.diff(where)
 
 
 _encoders: dict[str, Encoder] = {}
