@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fotolith.plans import duplicates, groups, jobs, ratings, revisions, similarity, training
+from fotolith.plans import context, duplicates, groups, jobs, ratings, revisions, similarity, training, views
 
-_PLANS = (duplicates, groups, jobs, ratings, revisions, similarity, training)
+_PLANS = (context, duplicates, groups, jobs, ratings, revisions, similarity, training, views)
 QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}

@@ -17,19 +17,35 @@ def length_prefixed_digest(*parts: Column) -> Column:
 
 
 def capture_time(text: Column) -> Column:
-    """RFC 3339, else camera text with colons, else with dashes (H2); null if none."""
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss[.SSS]")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSS]")))
+    """RFC 3339, else camera text with colons, else with dashes, of UTC; with any fraction (H2). Null if
+    it is none of these whole."""
+    clock, rest = r"([0-9]{2}:[0-9]{2}:[0-9]{2})", r"(?:[.]([0-9]{1,9}))?"
+    zoned = F.regexp_like(text, F.lit(rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[Tt ]{clock}(?:[.][0-9]+)?(?:[Zz]|[+-][0-9]{{2}}:[0-9]{{2}})$"))
+    plain = rf"^([0-9]{{4}})([:-])([0-9]{{2}})\2([0-9]{{2}}) {clock}{rest}$"
+    part = lambda k: F.regexp_extract(text, plain, k)
+    camera = F.concat(part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit("T"), part(5), F.when(part(6) != "", F.concat(F.lit("."), part(6))).otherwise(""), F.lit("Z"))
+    return F.when(zoned, F.try_to_timestamp(F.upper(text))).when(F.regexp_like(text, F.lit(plain)), F.try_to_timestamp(camera))
 
 
 def normal_stem(name: Column) -> Column:
-    """Lower case, without one edited/edit/final suffix, ASCII letters and digits only (H3)."""
-    stem = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
-    return F.regexp_replace(F.regexp_replace(stem, r"[ _-]*(edited|edit|final)$", ""), "[^a-z0-9]", "")
+    """ASCII lower case, without the extension and one edited, edit or final set off by a mark, letters and
+    digits only; null if nothing is left (H3)."""
+    stem = ascii_fold(F.trim(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")))
+    stem = F.regexp_replace(F.regexp_replace(stem, r"[_ -](?:edited|edit|final)$", ""), r"[_ -]+$", "")
+    return F.nullif(F.regexp_replace(stem, "[^a-z0-9]", ""), F.lit(""))
 
 
-def slug(text: Column) -> Column:
-    """Lower-case words joined by dashes, at most 80 characters (H4)."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+def safe_stem(name: Column) -> Column:
+    """A file stem without control and reserved characters, at most 100, not framed by spaces or dots;
+    photo if nothing is left (H5)."""
+    kept = F.substring(F.regexp_replace(name, r"""[\p{Cc}<>:"/\\\\|?*]""", ""), 1, 100)
+    return F.coalesce(F.nullif(F.regexp_replace(kept, r"^[ .]+|[ .]+$", ""), F.lit("")), F.lit("photo"))
+
+
+def slug(text: Column, empty: str = "style") -> Column:
+    """Lower-case words joined by dashes, at most 80 characters, or what stands for none (H4)."""
+    words = F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+    return F.coalesce(F.nullif(words, F.lit("")), F.lit(empty))
 
 
 def natural_key(text: Column) -> Column:
@@ -60,8 +76,12 @@ def stars(score: Column) -> Column:
 
 
 def exposure_class(luminance: Column) -> Column:
-    """Named class of a mean luminance."""
-    return F.when(luminance < 0.025, "very_dark").when(luminance < 0.10, "dark").when(luminance <= 0.55, "balanced").when(luminance <= 0.80, "bright").otherwise("very_bright")
+    """Named class of a median luminance."""
+    names = ("strongly_underexposed", "underexposed", "balanced", "overexposed")
+    out = F.lit("strongly_overexposed")
+    for name, below in reversed(list(zip(names, (0.025, 0.10, 0.55, 0.80)))):
+        out = F.when(luminance < below, name).otherwise(out)
+    return out
 
 
 def exposure_ev(median: Column) -> Column:
@@ -69,11 +89,6 @@ def exposure_ev(median: Column) -> Column:
     return F.log2(median + 0.005)
 
 
-def lower_rank(sorted_values: Column, q: float) -> Column:
-    """The value at the 0-based rank floor(q * (n - 1)) of a sorted array; null if empty."""
-    return F.get(sorted_values, F.floor(F.lit(q) * (F.size(sorted_values) - 1)).cast("int"))
-
-
 def upper_median(sorted_values: Column) -> Column:
     """The element at n div 2, not averaged; 0 if empty."""
     return F.coalesce(F.get(sorted_values, F.floor(F.size(sorted_values) / 2).cast("int")), F.lit(0.0))

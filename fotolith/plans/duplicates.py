@@ -17,9 +17,11 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def families(a: DataFrame, keys: tuple[str, ...] = ("sha256", "byte_length")) -> DataFrame:
-    """One row a family of at least two copies: canonical (least id), size. Partial counts and minima
-    are combined before the shuffle, so a family of any size is one row a task."""
-    found = a.groupBy(*keys).agg(F.min("asset_id").alias("canonical_id"), F.count("*").alias("family_size"))
+    """One row a family of at least two different ids with the same bytes: canonical (least id), size.
+    Rows without bytes have no family. Repeated ids go first, by key and id, so that no task gathers a
+    family; counts and minima are combined before the shuffle."""
+    one = a.select(*keys, "asset_id").where(F.col(keys[0]).isNotNull()).distinct()
+    found = one.groupBy(*keys).agg(F.min("asset_id").alias("canonical_id"), F.count("*").alias("family_size"))
     return found.where("family_size >= 2")
 
 
@@ -50,7 +52,7 @@ def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (exact_families, exact_membership, duplicate_counts)}
 
 _ASSETS = "a AS (SELECT lang AS job_id, doc_id AS asset_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS byte_length FROM documents)"
-_FAMILIES = f"{_ASSETS}, f AS (SELECT sha256, byte_length, min(asset_id) AS canonical_id, count(*) AS family_size FROM a GROUP BY 1, 2 HAVING count(*) >= 2)"
+_FAMILIES = f"{_ASSETS}, f AS (SELECT sha256, byte_length, min(asset_id) AS canonical_id, count(DISTINCT asset_id) AS family_size FROM a WHERE sha256 IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT asset_id) >= 2)"
 ORACLE_SQL = {
     "exact_families": f"WITH {_FAMILIES} SELECT *, byte_length * (family_size - 1) AS wasted_bytes FROM f",
     "exact_membership": f"WITH {_FAMILIES} SELECT asset_id, canonical_id, family_size, asset_id <> canonical_id AS redundant FROM a JOIN f USING (sha256, byte_length)",

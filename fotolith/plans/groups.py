@@ -1,4 +1,4 @@
-"""Groups: preferred set, representative, references, deltas from the group, kinds.
+"""Groups: preferred set, representative, references, kinds.
 
 Adapter: an order is a group, its lines the members; quantity gives the score, discount the warmth,
 tax the luminance.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fotolith.functions.scalars import clamp, exposure_ev
+from fotolith.functions.scalars import clamp
 from fotolith.sources.tables import table
 
 NEAR_BEST, REFERENCES, WITHIN = 1.0, 3, 2.5
@@ -18,7 +18,7 @@ NEAR_BEST, REFERENCES, WITHIN = 1.0, 3, 2.5
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("asset_id"), F.col("l_quantity").alias("score"),
-        (1 - F.col("l_discount")).alias("confidence"), F.col("l_discount").alias("warm"), F.col("l_tax").alias("luminance"), F.col("l_returnflag").alias("kind"),
+        (1 - F.col("l_discount")).alias("confidence"), F.col("l_discount").alias("warm"), (F.col("l_tax") * 2).alias("luminance"), F.col("l_returnflag").alias("kind"),
     )
 
 
@@ -41,20 +41,11 @@ def reference_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where((F.col("rank") <= REFERENCES) & (F.col("score") >= F.col("best") - WITHIN)).select("group_id", "asset_id", "rank", "score")
 
 
-def group_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each member's deviation from its group's medians, with ordered notes."""
-    m = members(spark, sf_dir).withColumn("ev", exposure_ev(F.col("luminance")))
-    mid = m.groupBy("group_id").agg(F.median("ev").alias("mid_ev"), F.median("warm").alias("mid_warm"))
-    ev, warm = F.round(F.col("ev") - F.col("mid_ev"), 6), F.round(F.col("warm") - F.col("mid_warm"), 6)
-    notes = F.array(F.when(ev > 0.30, "brighter"), F.when(ev < -0.30, "darker"), F.when(warm > 0.02, "warmer"), F.when(warm < -0.02, "cooler"))
-    return m.join(mid, "group_id").select("group_id", "asset_id", ev.alias("delta_ev"), warm.alias("delta_warm"), F.array_join(F.filter(notes, lambda n: n.isNotNull()), ",").alias("notes"))
-
-
 def group_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind folded over a group, its least confidence, and whether its luminance spans a bracket."""
     m = members(spark, sf_dir).groupBy("group_id")
     kind = F.when(F.bool_or(F.col("kind") == "R"), "similar").when(F.bool_and(F.col("kind") == "N"), "burst").otherwise("near_duplicate")
-    return m.agg(kind.alias("kind"), F.min("confidence").alias("confidence"), ((F.max("luminance") - F.min("luminance")) > 0.05).alias("bracket"))
+    return m.agg(kind.alias("kind"), F.min("confidence").alias("confidence"), ((F.max("luminance") - F.min("luminance")) > 0.12).alias("bracket"))
 
 
 def focus_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,16 +65,13 @@ def scene_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("group_id", "asset_id", score.alias("score"), F.array_join(F.filter(reasons, lambda r: r.isNotNull()), ",").alias("reasons"), F.when(low, 0.55).otherwise(0.72).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (preferred_members, representatives, reference_candidates, group_deltas, group_kinds, focus_review, scene_scores)}
-_M = "m AS (SELECT l_orderkey AS group_id, l_linenumber AS asset_id, l_quantity AS score, 1 - l_discount AS confidence, l_discount AS warm, l_tax AS luminance, l_returnflag AS kind FROM lineitem)"
+QUERIES = {f.__name__: f for f in (preferred_members, representatives, reference_candidates, group_kinds, focus_review, scene_scores)}
+_M = "m AS (SELECT l_orderkey AS group_id, l_linenumber AS asset_id, l_quantity AS score, 1 - l_discount AS confidence, l_discount AS warm, l_tax * 2 AS luminance, l_returnflag AS kind FROM lineitem)"
 ORACLE_SQL = {
     "preferred_members": f"WITH {_M} SELECT group_id, asset_id, max(score) OVER (PARTITION BY group_id) - score AS relative FROM m QUALIFY max(score) OVER (PARTITION BY group_id) - score <= 1.0",
     "representatives": f"WITH {_M} SELECT group_id, asset_id, count(*) OVER (PARTITION BY group_id) AS size FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, asset_id) = 1",
     "reference_candidates": f"WITH {_M}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY score DESC, confidence DESC, asset_id) AS INTEGER) AS rank, max(score) OVER (PARTITION BY group_id) AS best FROM m) SELECT group_id, asset_id, rank, score FROM r WHERE rank <= 3 AND score >= best - 2.5",
-    "group_deltas": f"""WITH {_M}, e AS (SELECT *, log2(luminance + 0.005) AS ev FROM m), d AS (SELECT group_id, median(ev) AS me, median(warm) AS mw FROM e GROUP BY 1),
-        x AS (SELECT group_id, asset_id, round(ev - me, 6) AS delta_ev, round(warm - mw, 6) AS delta_warm FROM e JOIN d USING (group_id))
-        SELECT *, concat_ws(',', CASE WHEN delta_ev > 0.30 THEN 'brighter' END, CASE WHEN delta_ev < -0.30 THEN 'darker' END, CASE WHEN delta_warm > 0.02 THEN 'warmer' END, CASE WHEN delta_warm < -0.02 THEN 'cooler' END) AS notes FROM x""",
-    "group_kinds": f"WITH {_M} SELECT group_id, CASE WHEN bool_or(kind = 'R') THEN 'similar' WHEN bool_and(kind = 'N') THEN 'burst' ELSE 'near_duplicate' END AS kind, min(confidence) AS confidence, max(luminance) - min(luminance) > 0.05 AS bracket FROM m GROUP BY 1",
+    "group_kinds": f"WITH {_M} SELECT group_id, CASE WHEN bool_or(kind = 'R') THEN 'similar' WHEN bool_and(kind = 'N') THEN 'burst' ELSE 'near_duplicate' END AS kind, min(confidence) AS confidence, max(luminance) - min(luminance) > 0.12 AS bracket FROM m GROUP BY 1",
     "focus_review": f"WITH {_M}, d AS (SELECT group_id, median(score) AS mid FROM m GROUP BY 1) SELECT group_id, asset_id, score, mid FROM m JOIN d USING (group_id) WHERE score < 0.7 * mid",
     "scene_scores": """SELECT l_orderkey AS group_id, l_linenumber AS asset_id, round(greatest(0, least(100, 82.0 + CASE WHEN l_quantity / 50 < 0.2 THEN -12 ELSE 7 END - CASE WHEN l_tax * 100 > 3 THEN least(l_tax * 100, 6) ELSE 0 END - CASE WHEN l_discount > 0.08 THEN 8 ELSE 0 END)), 6) AS score,
         concat_ws(',', CASE WHEN l_quantity / 50 < 0.2 THEN 'low_texture' END, CASE WHEN l_tax * 100 > 3 THEN 'tilted' END, CASE WHEN l_discount > 0.08 THEN 'clipped' END) AS reasons,

@@ -1,4 +1,4 @@
-"""Ratings: event-sourced user state over machine ratings, histogram, filters (E7, C3, D3, and B5 but for its copies).
+"""Ratings: event-sourced user state over machine ratings, histogram.
 
 Adapter: an event is a rating event of the asset `user_id` (value in steps of 20 gives 1 to 5, an
 error clears the rating); an order line's quantity and discount give the machine's score.
@@ -45,14 +45,7 @@ def rating_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(found, "rating", "left").select("rating", F.coalesce("assets", F.lit(0)).cast("long").alias("assets"))
 
 
-def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rated 3 or more and no redundant copy, with a badge."""
-    r = effective_ratings(spark, sf_dir).where(F.col("rating").isin(3, 4, 5) & (F.col("asset_id") % 7 != 3))
-    badge = F.when(F.col("rating") == 5, "BEST").when(F.col("stale"), "STALE")
-    return r.select("asset_id", "rating", badge.alias("badge"))
-
-
-QUERIES = {f.__name__: f for f in (user_state, effective_ratings, rating_histogram, selection)}
+QUERIES = {f.__name__: f for f in (user_state, effective_ratings, rating_histogram)}
 _E = "e AS (SELECT event_id, user_id AS asset_id, CAST(CASE WHEN event_type <> 'error' THEN least(5, floor(value / 20) + 1) END AS INTEGER) AS user_rating, ts FROM events), u AS (SELECT asset_id, event_id, user_rating FROM e QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY ts DESC, event_id DESC) = 1)"
 _R = f"""{_E}, a AS (SELECT l_suppkey AS asset_id, round(avg(l_quantity * 2 - l_discount * 100 + 10), 4) AS score, max(l_shipdate) AS analysed_at FROM lineitem GROUP BY 1),
 r AS (SELECT asset_id, score, user_rating, analysed_at < TIMESTAMP '1998-12-01' AS stale,
@@ -61,5 +54,4 @@ ORACLE_SQL = {
     "user_state": f"WITH {_E} SELECT * FROM u",
     "effective_ratings": f"WITH {_R} SELECT asset_id, score, user_rating, rating, stale FROM r",
     "rating_histogram": f"WITH {_R} SELECT CAST(g AS INTEGER) AS rating, count(asset_id) AS assets FROM range(6) t(g) LEFT JOIN r ON coalesce(r.rating, 0) = g GROUP BY 1",
-    "selection": f"WITH {_R} SELECT asset_id, rating, CASE WHEN rating = 5 THEN 'BEST' WHEN stale THEN 'STALE' END AS badge FROM r WHERE rating IN (3, 4, 5) AND asset_id % 7 <> 3",
 }

@@ -1,5 +1,5 @@
 """Edit documents: numbering, retention, change detection, upserts, matching of names
-(E4-E6, C10-C12, C20, A15, D20, H3).
+(E4, E5, C10-C12, D20, D21, H3, and of A15 the upsert).
 
 Adapter: a customer's orders are the revisions of one document, the price their payload.
 """
@@ -18,7 +18,7 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("revision", F.row_number().over(Window.partitionBy("asset_id").orderBy("created_at", "revision_id")))
 
 
-def retained(spark: SparkSession, sf_dir: str, keep: int = 5) -> DataFrame:
+def retained(spark: SparkSession, sf_dir: str, keep: int = 200) -> DataFrame:
     """The first revision and the latest keep - 1."""
     latest = F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("revision")))
     return revisions(spark, sf_dir).withColumn("age", latest).where((F.col("revision") == 1) | (F.col("age") <= keep - 1)).select("asset_id", "revision_id", "revision")
@@ -36,9 +36,8 @@ def next_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest wins among old and new rows of an asset: a maximum of a struct, no sort of a key's rows."""
-    old = revisions(spark, sf_dir).where("revision = 1").select("asset_id", F.lit(0).alias("wave"), "payload")
-    new = revisions(spark, sf_dir).where("revision = 3").select("asset_id", F.lit(1).alias("wave"), "payload")
-    return old.unionByName(new).groupBy("asset_id").agg(F.max(F.struct("wave", "payload")).alias("x")).select("asset_id", "x.wave", "x.payload")
+    rows = revisions(spark, sf_dir).where("revision in (1, 3)").select("asset_id", F.when(F.col("revision") == 3, 1).otherwise(0).alias("wave"), "payload")
+    return rows.groupBy("asset_id").agg(F.max(F.struct("wave", "payload")).alias("x")).select("asset_id", "x.wave", "x.payload")
 
 
 def unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +47,11 @@ def unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    left = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("source_id"), normal_stem(F.concat("p_name", F.col("p_size").cast("string"), F.lit("_edit.raw"))).alias("stem"))
-    right = table(spark, sf_dir, "part").where("p_partkey % 3 <> 1").select(F.col("p_partkey").alias("reference_id"), normal_stem(F.concat("p_name", F.col("p_size").cast("string"), F.lit(".jpg"))).alias("stem"))
+    """Sources: every part, by name, size and brand; references: every part under its edited name, which
+    for sizes over 40 is another."""
+    p, size = table(spark, sf_dir, "part"), F.col("p_size").cast("string")
+    left = p.select(F.col("p_partkey").alias("source_id"), normal_stem(F.concat("p_name", size, "p_brand", F.lit(".raw"))).alias("stem"))
+    right = p.select(F.col("p_partkey").alias("reference_id"), normal_stem(F.concat("p_name", size, F.when(F.col("p_size") > 40, F.lit("x")).otherwise(F.lit("")), "p_brand", F.lit("_edit.jpg"))).alias("stem"))
     return left, right
 
 
@@ -74,17 +76,37 @@ def unmatched_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "stem", "left_anti").select("source_id", "stem")
 
 
-QUERIES = {f.__name__: f for f in (retained, changed, next_numbers, upserted, unanimous, matched_stems, ambiguous_sources, unmatched_sources)}
+def unmatched_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = stems(spark, sf_dir)
+    return right.join(left, "stem", "left_anti").select("reference_id", "stem")
+
+
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the match and whether the first and the last of both sides, by id, have one stem (D21):
+    each side is one aggregate of structs."""
+    left, right = stems(spark, sf_dir)
+    side = lambda d, key, name: d.agg(F.count("*").alias(name), F.min(F.struct(key, "stem"))["stem"].alias(f"{name}_first"), F.max(F.struct(key, "stem"))["stem"].alias(f"{name}_last"))
+    one = side(left, "source_id", "sources").crossJoin(side(right, "reference_id", "refs"))  # one row each
+    one = one.crossJoin(matched_stems(spark, sf_dir).agg(F.count("*").alias("matched"))).crossJoin(ambiguous_sources(spark, sf_dir).agg(F.count("*").alias("ambiguous")))
+    fallback = (F.col("matched") == 0) & (F.col("ambiguous") == 0) & (F.col("sources") == F.col("refs")) & (F.col("sources") > 0)
+    return one.select("sources", "refs", "matched", "ambiguous", (F.col("sources_first") == F.col("refs_first")).alias("start_aligned"), (F.col("sources_last") == F.col("refs_last")).alias("end_aligned"), fallback.alias("order_fallback"))
+
+
+QUERIES = {f.__name__: f for f in (retained, changed, next_numbers, upserted, unanimous, matched_stems, ambiguous_sources, unmatched_sources, unmatched_references, match_summary)}
 _V = "v AS (SELECT o_custkey AS asset_id, o_orderkey AS revision_id, o_orderstatus AS payload, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS revision FROM orders)"
-_STEM = "regexp_replace(regexp_replace(regexp_replace(lower(p_name || CAST(p_size AS VARCHAR) || '{0}'), '\\.[^.]*$', ''), '[ _-]*(edited|edit|final)$', ''), '[^a-z0-9]', '', 'g')"
-_S = f"l AS (SELECT p_partkey AS source_id, {_STEM.format('_edit.raw')} AS stem FROM part WHERE p_partkey % 3 <> 0), r AS (SELECT p_partkey AS reference_id, {_STEM.format('.jpg')} AS stem FROM part WHERE p_partkey % 3 <> 1), p AS (SELECT stem, source_id, reference_id FROM (SELECT stem, min(source_id) AS source_id FROM l GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT stem, min(reference_id) AS reference_id FROM r GROUP BY 1 HAVING count(*) = 1) b USING (stem))"
+_STEM = "nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[_ -](edited|edit|final)$', ''), '[_ -]+$', ''), '[^a-z0-9]', '', 'g'), '')"
+_S = f"""l AS (SELECT p_partkey AS source_id, {_STEM.format("p_name || CAST(p_size AS VARCHAR) || p_brand")} AS stem FROM part), r AS (SELECT p_partkey AS reference_id, {_STEM.format("p_name || CAST(p_size AS VARCHAR) || CASE WHEN p_size > 40 THEN 'x' ELSE '' END || p_brand || '_edit'")} AS stem FROM part),
+p AS (SELECT stem, source_id, reference_id FROM (SELECT stem, min(source_id) AS source_id FROM l GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT stem, min(reference_id) AS reference_id FROM r GROUP BY 1 HAVING count(*) = 1) b USING (stem)),
+g AS (SELECT source_id, stem FROM l WHERE stem IN (SELECT stem FROM r) AND source_id NOT IN (SELECT source_id FROM p))"""
 ORACLE_SQL = {
-    "retained": f"WITH {_V} SELECT asset_id, revision_id, revision FROM v QUALIFY revision = 1 OR row_number() OVER (PARTITION BY asset_id ORDER BY revision DESC) <= 4",
+    "retained": f"WITH {_V} SELECT asset_id, revision_id, revision FROM v QUALIFY revision = 1 OR row_number() OVER (PARTITION BY asset_id ORDER BY revision DESC) <= 199",
     "changed": f"WITH {_V} SELECT asset_id, revision_id, revision, payload FROM v QUALIFY payload IS DISTINCT FROM lag(payload) OVER (PARTITION BY asset_id ORDER BY revision)",
     "next_numbers": f"WITH {_V} SELECT asset_id, max(revision) + 1 AS next_revision FROM v GROUP BY 1",
     "upserted": f"WITH {_V} SELECT asset_id, CASE WHEN revision = 3 THEN 1 ELSE 0 END AS wave, payload FROM v WHERE revision IN (1, 3) QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY revision DESC) = 1",
     "unanimous": f"WITH {_V} SELECT asset_id, min(payload) AS payload, count(*) AS revisions FROM v GROUP BY 1 HAVING count(DISTINCT payload) = 1",
     "matched_stems": f"WITH {_S} SELECT stem, source_id, reference_id FROM p",
-    "ambiguous_sources": f"WITH {_S} SELECT source_id, stem FROM l WHERE stem IN (SELECT stem FROM r) AND source_id NOT IN (SELECT source_id FROM p)",
+    "ambiguous_sources": f"WITH {_S} SELECT source_id, stem FROM g",
     "unmatched_sources": f"WITH {_S} SELECT source_id, stem FROM l WHERE stem NOT IN (SELECT stem FROM r)",
+    "unmatched_references": f"WITH {_S} SELECT reference_id, stem FROM r WHERE stem NOT IN (SELECT stem FROM l)",
+    "match_summary": f"WITH {_S}, a AS (SELECT count(*) AS sources, arg_min(stem, source_id) AS f, arg_max(stem, source_id) AS t FROM l), b AS (SELECT count(*) AS refs, arg_min(stem, reference_id) AS f, arg_max(stem, reference_id) AS t FROM r), c AS (SELECT count(*) AS matched FROM p), d AS (SELECT count(*) AS ambiguous FROM g) SELECT sources, refs, matched, ambiguous, a.f = b.f AS start_aligned, a.t = b.t AS end_aligned, matched = 0 AND ambiguous = 0 AND sources = refs AND sources > 0 AS order_fallback FROM a, b, c, d",
 }
