@@ -1,5 +1,5 @@
 """Items of a culling view: issues, review counts, the shown member of a group, relationship, filters,
-order and selection (B4-B7, B15, D5, D3's selected count, E2, F7, H10).
+order and selection (B4-B7, B15, D5, D3's selected count, E2, F7).
 
 Adapter: an order line is a photograph, its order the visual group, its supplier the job; lines of one
 part and quantity are byte-identical copies; quantity gives the score, other columns the reasons.
@@ -14,8 +14,6 @@ from fotolith.functions.scalars import stars
 from fotolith.plans.duplicates import families
 from fotolith.sources.tables import table
 
-#: What each photo type weighs (blink, soft face, framing, clipping, detail, level).
-WEIGHTS = {"portrait": (32.0, 24.0, 6.0, 10.0, 0.0, 0.0), "real_estate": (0.0, 0.0, 0.0, 14.0, 8.0, 3.0), "landscape": (0.0, 0.0, 0.0, 10.0, 4.0, 2.0)}
 #: Reason codes with their severity, in order, and when the adapter gives them.
 REASONS = (("severe_subject_softness", "major", "l_quantity < 4"), ("eyes_closed", "review", "l_tax >= 0.08"), ("clipping", "issue", "l_discount >= 0.09"), ("tilted", "info", "l_tax > 0.05"))
 

@@ -39,15 +39,6 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr(tuple(plain(r[c]) for c in sorted(names))) for r in df.collect()) == want
 
 
-def test_groups_don_t_depend_on_row_order():
-    import numpy as np
-
-    from fotolith.plans.similarity import MEMBERS, group_frames
-
-    grids = np.zeros((MEMBERS + 8, 4))
-    assert sorted(set(group_frames(grids))) == [0, MEMBERS]  # a family larger than a group makes two
-
-
 def test_trained_weights_find_a_linear_rule():
     import numpy as np
 
