@@ -143,10 +143,11 @@ def jaccard_components(df: DataFrame, width: int = 4, num: int = 85, den: int =
     same_key = signed.select("key", F.col("node").alias("v")).join(by_key, "key").where("u <> v").select("u", "v").distinct()
     found = written(components(links.unionAll(same_key)), "joined").join(classes, "node").select("node", "component", "rep")
     label = found.select("node", "component").join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
-    label = classes.join(label, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    # a table, so that Spark can split the rows of a large class that meet it
+    label = written(classes.join(label, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")), "labels")
     out = signed.select("key", "n", "node").join(label, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"))
     out = written(out, "components")
-    dropped(signed, classes, links)
+    dropped(signed, classes, links, label)
     return out
 
 
