@@ -3,14 +3,15 @@
 Documents are dealt into ranges of doc_id; each range is encoded, and its ids are written as files
 of one wavelet matrix each: a plane of bits per bit of the largest id, most significant first, every
 plane holding that bit of all ids in the order that the planes above have dealt them (zeros before
-ones), with counts of ones before each block of 512 bits for rank and select. Planes are compressed
-one by one, so that a single token is read without the rest.
+ones), with counts of ones before each block of 512 bits for rank and select. A plane is compressed in
+chunks, so that a single token is read from the counts and one chunk of each plane.
 
 A file is one row of a Parquet table (`payload`) written by Spark's own committer, so that any store
 that Spark writes to holds it, and a lost executor leaves nothing behind.
 
 File layout, little-endian: 4 bytes magic, then int64 documents, tokens, planes; int64 doc_id of each
-document and int64 tokens of each; for each plane int64 zeros, int64 compressed length, bytes.
+document and int64 tokens of each; for each plane int64 zeros and int64 chunks, int32 length of each
+chunk, uint32 ones before each block and in all, and the chunks.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from fotolith.llm.bpe import byte_symbols, slices
 from fotolith.llm.pieces import Pieces
 from fotolith.llm.shared import bounded_batches, new_path, text_bytes
 
-MAGIC = b"WMX1"
-BLOCK = 512
+MAGIC = b"WMX2"
+#: Bits of a block, which has a count, and of a chunk, which is compressed alone.
+BLOCK, CHUNK = 512, 1 << 16
 #: A file is closed once it has so many tokens; a document is never split.
 FILE_TOKENS = 1 << 21
 #: Bytes of text a range of documents holds, about.
@@ -45,9 +47,9 @@ PIECES, WORDS = 600_000, 150_000
 class WaveletMatrix:
     """Ids with access, count (rank) and lookup of occurrences (select), from compressed planes."""
 
-    def __init__(self, size: int, zeros: list[int], planes: list[bytes]):
-        self.size, self.zeros, self.packed = size, zeros, planes
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, size: int, zeros: list[int], planes: list[list[bytes]], before: list[np.ndarray]):
+        self.size, self.zeros, self.packed, self.before = size, zeros, planes, before
+        self.open: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -55,27 +57,30 @@ class WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         if bits <= 16:
             ids = ids.astype(np.uint16)
-        zip_, zeros, planes = zstandard.ZstdCompressor(level=1), [], []
+        size, zip_, zeros, planes, before = len(ids), zstandard.ZstdCompressor(level=1), [], [], []
         for k in range(bits - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << k)) != 0
-            planes.append(zip_.compress(np.packbits(one, bitorder="little").tobytes()))
+            packed = np.packbits(one, bitorder="little")
+            planes.append([zip_.compress(packed[a : a + CHUNK // 8].tobytes()) for a in range(0, len(packed), CHUNK // 8)])
+            whole = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)]).reshape(-1, BLOCK // 8)
+            before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole).sum(axis=1, dtype=np.int64))]).astype("<u4"))
             low, high = ids[~one], ids[one]
             zeros.append(len(low))
             ids = np.concatenate([low, high])
-        return cls(sum((len(low), len(high))) if bits else 0, zeros, planes)
+        return cls(size, zeros, planes, before)
 
-    def plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(bits, ones before each block) of one plane, unpacked when first asked for."""
-        if k not in self.open:
-            packed = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k]), np.uint8)
-            bits = np.unpackbits(packed, count=self.size, bitorder="little")
-            pad = np.concatenate([bits, np.zeros(-len(bits) % BLOCK, np.uint8)]).reshape(-1, BLOCK)
-            self.open[k] = bits, np.concatenate([[0], np.cumsum(pad.sum(axis=1, dtype=np.int64))])
-        return self.open[k]
+    def block(self, k: int, b: int) -> np.ndarray:
+        """The bits of a block of plane k; its chunk is unpacked when first asked for."""
+        c = b // (CHUNK // BLOCK)
+        if (k, c) not in self.open:
+            packed = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k][c]), np.uint8)
+            self.open[k, c] = np.unpackbits(packed, count=min(CHUNK, self.size - c * CHUNK), bitorder="little")
+        at = b * BLOCK - c * CHUNK
+        return self.open[k, c][at : at + BLOCK]
 
     def ones(self, k: int, i: int) -> int:
-        bits, before = self.plane(k)
-        return int(before[i // BLOCK]) + int(bits[i // BLOCK * BLOCK : i].sum())
+        rest = i % BLOCK
+        return int(self.before[k][i // BLOCK]) + (int(self.block(k, i // BLOCK)[:rest].sum()) if rest else 0)
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -83,7 +88,7 @@ class WaveletMatrix:
             raise IndexError(i)
         out = 0
         for k in range(len(self.packed)):
-            one = int(self.plane(k)[0][i])
+            one = int(self.block(k, i // BLOCK)[i % BLOCK])
             out = out << 1 | one
             i = self.zeros[k] + self.ones(k, i) if one else i - self.ones(k, i)
         return out
@@ -116,18 +121,17 @@ class WaveletMatrix:
         return at
 
     def _select_bit(self, k: int, one: int, nth: int) -> int:
-        bits, before = self.plane(k)
+        before = self.before[k].astype(np.int64)
         marks = before if one else np.minimum(np.arange(len(before)) * BLOCK, self.size) - before
-        block = int(np.searchsorted(marks, nth, side="right")) - 1
-        chunk = bits[block * BLOCK : (block + 1) * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(chunk == one)[nth - int(marks[block])])
+        b = int(np.searchsorted(marks, nth, side="right")) - 1
+        return b * BLOCK + int(np.flatnonzero(self.block(k, b) == one)[nth - int(marks[b])])
 
     def all(self) -> np.ndarray:
         """Every id in order: the planes' dealing undone from the last to the first."""
         wide = np.uint16 if len(self.packed) <= 16 else np.uint32
         out = np.zeros(self.size, wide)
         for k in range(len(self.packed) - 1, -1, -1):
-            packed = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k]), np.uint8)
+            packed = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(c) for c in self.packed[k]), np.uint8)
             one = np.unpackbits(packed, count=self.size, bitorder="little").view(bool)
             above = np.empty(self.size, wide)
             above[~one] = out[: self.zeros[k]]
@@ -139,7 +143,8 @@ class WaveletMatrix:
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     w = WaveletMatrix.build(ids)
     head = [MAGIC, struct.pack("<qqq", len(doc_ids), len(ids), len(w.packed)), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<i8").tobytes()]
-    return b"".join(head + [x for z, p in zip(w.zeros, w.packed) for x in (struct.pack("<qq", z, len(p)), p)])
+    planes = ((struct.pack("<qq", z, len(p)), np.array([len(c) for c in p], "<i4").tobytes(), b.tobytes(), *p) for z, p, b in zip(w.zeros, w.packed, w.before))
+    return b"".join(head + [x for plane in planes for x in plane])
 
 
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
@@ -150,13 +155,15 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     at = 28
     doc_ids, lengths = np.frombuffer(payload, "<i8", docs, at), np.frombuffer(payload, "<i8", docs, at + 8 * docs)
     at += 16 * docs
-    zeros, packed = [], []
+    zeros, packed, before = [], [], []
     for _ in range(planes):
-        z, n = struct.unpack_from("<qq", payload, at)
+        z, chunks = struct.unpack_from("<qq", payload, at)
+        ends = at + 16 + 4 * chunks + 4 * (-(-size // BLOCK) + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(payload, "<i4", chunks, at + 16), dtype=np.int64)])
         zeros.append(z)
-        packed.append(payload[at + 16 : at + 16 + n])
-        at += 16 + n
-    return doc_ids, lengths, WaveletMatrix(size, zeros, packed)
+        before.append(np.frombuffer(payload, "<u4", -(-size // BLOCK) + 1, at + 16 + 4 * chunks))
+        packed.append([payload[a:b] for a, b in zip(ends[:-1], ends[1:])])
+        at = int(ends[-1])
+    return doc_ids, lengths, WaveletMatrix(size, zeros, packed, before)
 
 
 class Encoder:

@@ -77,14 +77,23 @@ def test_token_files(docs, none, library):
     assert token_files.encode_to_files(none, queries.vocabulary()).count() == 0
 
 
-def test_wavelet_matrix():
-    ids = np.random.default_rng(0).integers(0, 300, 2000).astype(np.uint32)
-    _, _, w = token_files.unpack(token_files.pack(np.array([1]), np.array([2000]), ids))
-    assert (w.all() == ids).all() and [w.access(i) for i in range(0, 2000, 17)] == ids[::17].tolist()
+@pytest.mark.parametrize("size", [2000, 1024, 512 * 128 * 2, 200_001])
+def test_wavelet_matrix(size):
+    ids = np.random.default_rng(0).integers(0, 300, size).astype(np.uint32)
+    _, _, w = token_files.unpack(token_files.pack(np.array([1]), np.array([size]), ids))
+    step = size // 100
+    assert [w.access(i) for i in range(0, size, step)] == ids[::step].tolist() and w.access(size - 1) == ids[-1]
+    _, _, w = token_files.unpack(token_files.pack(np.array([1]), np.array([size]), ids))
+    w.access(size // 2)
+    assert len(w.open) <= len(w.packed)  # one chunk of each plane
+    assert (w.all() == ids).all()
     for t in (int(ids[0]), int(ids[9]), 299):
         places = np.flatnonzero(ids == t)
-        assert w.count(t) == len(places) and w.count(t, 777) == (places < 777).sum() and [w.select(t, k) for k in range(len(places))] == places.tolist()
-    assert w.count(70000) == 0 and len(token_files.WaveletMatrix.build(np.zeros(0, np.uint32)).all()) == 0
+        assert w.count(t) == len(places) and w.count(t, 777) == (places < 777).sum() and [w.select(t, k) for k in range(0, len(places), 1 + len(places) // 50)] == places[:: 1 + len(places) // 50].tolist()
+    assert w.count(70000) == 0
+    for few in ([], [0], [0, 0, 5]):
+        _, _, w = token_files.unpack(token_files.pack(np.array([1]), np.array([len(few)]), np.array(few, np.uint32)))
+        assert w.all().tolist() == few and w.count(0) == few.count(0)
 
 
 def test_lm_counts_are_exact(docs, none):
