@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fotolith.plans import context, duplicates, groups, jobs, pairs, ratings, revisions, similarity, training, views
+from fotolith.plans import context, duplicates, groups, jobs, measure, pairs, ratings, revisions, similarity, state, training, views
 
-_PLANS = (context, duplicates, groups, jobs, pairs, ratings, revisions, similarity, training, views)
+_PLANS = (context, duplicates, groups, jobs, measure, pairs, ratings, revisions, similarity, state, training, views)
 QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
