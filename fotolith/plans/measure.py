@@ -1,4 +1,5 @@
-"""What is measured of an image's pixels: luminance percentiles, zones and clipping, colour.
+"""What is measured of an image's pixels: luminance percentiles, zones and clipping, colour, tone curves
+(D12-D14, H19, H25).
 
 Adapter: an order line is a pixel, its supplier the image; discount, tax and quantity are its linear
 red, green and blue. All are aggregates that combine before the shuffle; the percentiles come from at
