@@ -13,12 +13,13 @@ pass are compared by their whole sets.
 Near copies of any number become one component by one comparison each: classes with the same least
 permuted token of the probe are held against one leader of theirs. Groups of similar classes: the
 components found so, and of classes without one those whose probes have the same most shared token; in
-pieces of at most about GROUP members and TOKENS tokens. The matrix has a row for each probe token and
-piece: the piece's union of tokens, with the least and largest size of its members and the place up to
-which all their probes tell everything. A query that shares a probe token with a piece opens it only if
-the sizes fit and the overlap is bounded high enough: its tokens before the first one in the union are
-in no member, nor are those that the union lacks up to that place, and either number may be no more
-than two linked sets of these sizes can differ by. A component's pieces are never opened from within.
+pieces of sets of about the same size, with at most about GROUP members and TOKENS tokens. The matrix has
+a row for each probe token and piece: the piece's union of tokens, with the least and largest size of its
+members and the place up to which all their probes tell everything. A query that shares a probe token with
+a piece opens it only if the sizes fit and the overlap is bounded high enough: its tokens before the first
+one in the union are in no member, nor are those that the union lacks up to that place (the whole probe,
+if that ends there), and neither number may be more than a set linked to one of these sizes can lack. Of a
+piece of one member, the query may lack no more either. A component's pieces are never opened from within.
 Of what is opened, only pieces with a member that may be linked are compared by whole sets, inside one
 task each, which returns a forest of the links and not each pair. The work left for a family of m
 classes close to each other but not linked is about m * m / GROUP pieces opened.
@@ -27,6 +28,7 @@ classes close to each other but not linked is about m * m / GROUP pieces opened.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ from fotolith.llm.words import hash_strings, mix64, shingle_hashes, split_words
 SAMPLED, FREQUENT, LISTED = 8, 3, 1 << 18
 #: Members of a piece and queries of a task at most, and tokens of either side, all by expectation.
 GROUP, QUERIES, TOKENS = 256, 1024, 1 << 20
+#: Bits a key, and at most in all, of the marks by which a worker passes over rows whose set isn't asked for.
+MARKS, MOST_MARKS = 32, 1 << 28
 #: Bytes of text that a worker takes apart at a time, about.
 SLICE = 1 << 20
 SEED = np.uint64(0x5851F42D4C957F2D)
@@ -184,23 +188,32 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
     most = tokens.groupBy("node").agg(F.max(F.struct("c", "h"))["h"].alias("top"))
     groups = some.select("node", "n", "last").join(most, "node").join(components(stars), "node", "left")
     name = F.coalesce(F.concat(F.lit("c"), F.col("component").cast("string")), F.concat(F.lit("t"), F.col("top").cast("string")))
-    groups = written(groups.select("node", "n", "last", name.alias("group"), F.col("component").isNull().alias("loose")), "named")
-    sizes = written(groups.groupBy("group").agg(F.count("*").alias("size"), _parts(GROUP).alias("pieces")), "sizes")
-    sized = written(groups.join(sizes, "group").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces"))).drop("pieces"), "groups")
-    dropped(sketched, groups, sizes)
+    groups = named_ = written(groups.select("node", "n", "last", name.alias("group"), F.col("component").isNull().alias("loose")), "named")
+    # sets of a step differ by less than linked ones may
+    groups = groups.withColumn("step", F.floor(F.log("n") / math.log(max(den / num, 1 + 1e-3))))
+    sizes = written(groups.groupBy("group", "step").agg(F.count("*").alias("size"), _parts(GROUP).alias("pieces")), "sizes")
+    piece = F.col("step") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("pieces"))
+    sized = written(groups.join(sizes, ["group", "step"]).withColumn("piece", piece).drop("pieces", "step"), "groups")
+    dropped(sketched, named_, sizes)
     groups = sized
 
     by_token = tokens.drop("c").join(groups, "node")
-    unions = groups.groupBy("group", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("last").alias("end"), F.max("size").alias("size"), F.max("loose").alias("loose"))
+    size = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")  # of a probe
+    lone = F.when(F.count("*") == 1, F.max(size)).otherwise(0)
+    unions = groups.groupBy("group", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("last").alias("end"), F.max("size").alias("size"), F.max("loose").alias("loose"), lone.alias("lone"))
     matrix = by_token.select("h", "group", "piece").distinct().join(unions, ["group", "piece"])
-    asked = by_token.select("h", "at", F.col("node").alias("query"), "n", F.struct("size", "group", "piece").alias("mine"))
+    asked = by_token.select("h", "at", F.col("node").alias("query"), "n", "last", F.struct("size", "group", "piece").alias("mine"))
     its = F.struct("size", "group", "piece")
     other = ((F.col("mine.group") != F.col("group")) | F.col("loose")) & ((F.col("mine") < its) | ((F.col("mine") == its) & (F.col("size") > 1)))
     fit = other & (F.col("n") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n") * num)
     known = F.col("h").bitwiseXOR(F.lit(-(1 << 63))) <= F.col("end")
-    met = asked.join(matrix, "h").where(fit).groupBy(F.col("query").alias("node"), "n", "group", "piece", "high").agg(F.min("at").alias("first"), F.max(F.when(known, F.col("at") + 1)).alias("known"), F.count_if(known).alias("found"))
+    # linked sets of n and m lack at most (den * n - num * m) / (den + num) and (den * m - num * n) / (den + num) of each other
+    lacks = F.expr(f"(n * {den * den} - {num} * greatest(low * {den}, n * {num})) div {den * (den + num)}")
+    theirs = F.expr(f"(high * {den} - n * {num}) div {den + num}")
+    least = F.when(F.col("last") <= F.col("end"), size - lacks).otherwise(F.col("lone") - theirs)
+    met = asked.join(matrix, "h").where(fit).groupBy(F.col("query").alias("node"), "n", "group", "piece", lacks.alias("lacks"), least.alias("least")).agg(F.min("at").alias("first"), F.max(F.when(known, F.col("at") + 1)).alias("known"), F.count_if(known).alias("found"))
     missing = F.greatest(F.col("first"), F.coalesce(F.col("known") - F.col("found"), F.lit(0)))
-    opened = written(met.where(missing * (den + num) <= (den - num) * (F.col("n") + F.col("high"))).select("node", "n", "group", "piece"), "opened")
+    opened = written(met.where((missing <= F.col("lacks")) & (F.col("found") >= F.col("least"))).select("node", "n", "group", "piece"), "opened")
     dropped(tokens)
 
     def near_group(queries: pa.Table, members: pa.Table) -> pa.Table:
@@ -260,17 +273,38 @@ def _codes(lists: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _marks(keys: DataFrame) -> tuple[Column, np.ndarray]:
+    """(the place of a row's key, a bit at the place of each of the keys): other keys seldom have a bit."""
+    many = 1 << max(6, min(MOST_MARKS, MARKS * keys.count()).bit_length())
+    place = F.pmod(F.xxhash64("key"), F.lit(many))
+    words = keys.groupBy(F.shiftrightunsigned(place, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(key), {many}) % 64 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(many // 64, np.uint64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return place, marks
+
+
+def marked(marks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a bit at their place."""
+    for b in batches:
+        place = b.column("place").to_numpy().astype(np.uint64)
+        yield b.filter(pa.array((marks[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+
 def _sets(rows: DataFrame, of: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of these nodes: whole sets, sorted, as bytes. of: the key of a row with each node."""
+    """(node, tokens) of these nodes: whole sets, sorted, as bytes. of: the key of a row with each node.
+    Texts aren't shuffled: rows of other keys are passed over where they are read."""
+    ends = written(of.join(nodes, "node", "left_semi"), "ends")
+    place, bits = _marks(ends)
+    marks = rows.sparkSession.sparkContext.broadcast(bits)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE):
+        for part in slices(marked(marks.value, batches), "text", SLICE):
             sets = shingle_sets(part.column("text"), width)
             yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
 
-    ends = written(of.join(nodes, "node", "left_semi"), "ends")
-    sets = rows.join(ends.select("key").distinct(), "key", "left_semi").where("text is not null").mapInArrow(whole, "node long, tokens binary")
-    sets = written(sets.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")  # a key may have other texts
+    sets = rows.where("key is not null and text is not null").select(place.alias("place"), "text").mapInArrow(whole, "node long, tokens binary")
+    sets = written(sets.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")  # other texts have passed too, and a node may have many rows
+    marks.destroy()
     dropped(ends)
     return sets
 
