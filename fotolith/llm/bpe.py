@@ -16,6 +16,7 @@ vocabulary crosses, so that each distinct piece is encoded once per slice of row
 from __future__ import annotations
 
 import ctypes
+import gc
 import heapq
 import json
 import unicodedata
@@ -274,6 +275,14 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
+def forget() -> None:
+    """For operators that a worker turns to after this one: what it kept of vocabularies goes."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()  # they hold themselves
+        give_back()
+
+
 def give_back() -> None:
     """Free memory goes back to the system: workers stay for later tasks, and what they hold counts."""
     pa.default_memory_pool().release_unused()

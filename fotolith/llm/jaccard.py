@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from fotolith.llm.bpe import slices
+from fotolith.llm.bpe import forget, give_back, slices
 from fotolith.llm.components import components
 from fotolith.llm.shared import bounded_batches, dropped, written
 from fotolith.llm.words import hash_strings, mix64, shingle_hashes, split_words
@@ -48,6 +48,8 @@ SAMPLED, FREQUENT, LISTED = 8, 3, 1 << 18
 GROUP, QUERIES, TOKENS = 256, 1024, 1 << 20
 #: Bits a key, and at most in all, of the marks by which a worker passes over rows whose set isn't asked for.
 MARKS, MOST_MARKS = 32, 1 << 28
+#: Bytes of a group after which a worker gives its free memory back.
+LARGE = 2 << 20
 #: Bytes of text that a worker takes apart at a time, about.
 SLICE = 1 << 20
 SEED = np.uint64(0x5851F42D4C957F2D)
@@ -111,6 +113,7 @@ def jaccard_components(df: DataFrame, width: int = 4, num: int = 85, den: int =
     spark = df.sparkSession
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), width)
             first = [s[: 2 * probe_size(len(s), num, den)] for s in {s.tobytes(): s for s in sets}.values() if len(s)]
@@ -123,6 +126,7 @@ def jaccard_components(df: DataFrame, width: int = 4, num: int = 85, den: int =
     frequent = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([k for _, k in top], np.uint64)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         none = np.zeros(0, np.uint64)
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), width)
@@ -179,9 +183,11 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
         stars = part if stars is None else stars.unionAll(part)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             ok = [may_link(x, n, y, m, num, den) for x, n, y, m in zip(_codes(b.column("probe")), b.column("n").to_pylist(), _codes(b.column("other")), b.column("on").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("leader")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     sketched = written(stars.mapInArrow(sketch, "u long, v long").distinct(), "stars")
     stars = written(_verified(rows, of, sketched, width, num, den), "star-links")
@@ -218,7 +224,9 @@ def _links(rows: DataFrame, signed: DataFrame, classes: DataFrame, width: int, n
 
     def near_group(queries: pa.Table, members: pa.Table) -> pa.Table:
         sides = [(_codes(t.column("probe").combine_chunks()), t.column("n").to_numpy(), t.column("node").to_pylist()) for t in (queries, members)]
-        return queries.select(["node", "n", "group", "piece"]).filter(pa.array(near_queries(*sides[0], *sides[1], num, den), pa.bool_()))
+        out = queries.select(["node", "n", "group", "piece"]).filter(pa.array(near_queries(*sides[0], *sides[1], num, den), pa.bool_()))
+        cleared(queries, members)
+        return out
 
     left, right, many = _sides(opened, groups, some.select("node", "probe"))
     hits = written(left.cogroup(right).applyInArrow(near_group, "node long, n long, group string, piece long"), "hits")
@@ -259,6 +267,7 @@ def _forest(rows: DataFrame, of: DataFrame, hits: DataFrame, groups: DataFrame,
         q, m = ([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens").combine_chunks()] for t in (queries, members))
         keys, others = queries.column("node").to_pylist(), members.column("node").to_pylist()
         out = forest(q, keys, m, others, members.column("loose")[0].as_py(), num, den)
+        cleared(queries, members)
         return pa.table({"u": [u for u, _ in out], "v": [v for _, v in out]}, schema=schema)
 
     left, right, many = _sides(hits, members, sets)
@@ -267,6 +276,13 @@ def _forest(rows: DataFrame, of: DataFrame, hits: DataFrame, groups: DataFrame,
     return out
 
 
+def cleared(*tables: pa.Table) -> None:
+    """After large groups only, as there are many small ones."""
+    forget()
+    if sum(t.nbytes for t in tables) > LARGE:
+        give_back()
+
+
 def _codes(lists: pa.Array) -> list[np.ndarray]:
     flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
     offsets = offsets - offsets[0]
@@ -298,6 +314,7 @@ def _sets(rows: DataFrame, of: DataFrame, nodes: DataFrame, width: int) -> DataF
     marks = rows.sparkSession.sparkContext.broadcast(bits)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in slices(marked(marks.value, batches), "text", SLICE):
             sets = shingle_sets(part.column("text"), width)
             yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
@@ -317,6 +334,7 @@ def _verified(rows: DataFrame, of: DataFrame, pairs: DataFrame, width: int, num:
         for b in batches:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(b.column("a"), b.column("b"))]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
     out = written(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolith.llm.bpe import slices
+from fotolith.llm.bpe import forget, slices
 from fotolith.llm.shared import bounded_batches, written
 
 #: Labelled rows in the fit, at most; every language among them is known.
@@ -77,6 +77,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     chosen = spark.createDataFrame([(r["key"],) for r in chosen.collect()], f"key {rows.schema['key'].dataType.simpleString()}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for part in slices(iter([b]), "text", SLICE):
@@ -113,6 +114,7 @@ def identify(df: DataFrame, model: Model, key: str, text: Column, declared: Colu
     names = model.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = sent.value
         for part in slices(batches, "text", SLICE):
             like, n = m.likelihoods(part.column("text"))
