@@ -14,9 +14,9 @@ from fotolith.llm.words import split_words
 class Pieces:
     """The ids of each distinct piece, worked out once as long as there is room for `most` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
-        """encode: (ids of all pieces one after the other, how many each has)."""
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int, listed: Callable[[pa.Array], list[str]] = pa.Array.to_pylist):
+        """encode: (ids of all pieces one after the other, how many each has); listed: the strings of an array."""
+        self.encode, self.most, self.listed = encode, most, listed
         self.known = pa.array([], pa.large_string())
         self.ids, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)  # piece k has starts[k] to starts[k + 1]
 
@@ -34,7 +34,7 @@ class Pieces:
         fresh = np.flatnonzero(at < 0)
         if len(fresh):
             names, base = pieces.take(pa.array(fresh)), len(self.known)
-            ids, sizes = self.encode(names.to_pylist())
+            ids, sizes = self.encode(self.listed(names))
             begin = int(self.starts[base])
             self.ids = self._room(self.ids, begin + len(ids))
             self.ids[begin : begin + len(ids)] = ids

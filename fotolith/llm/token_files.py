@@ -21,17 +21,21 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolith.llm.bpe import byte_symbols, slices
+from fotolith.llm.bpe import byte_symbols, give_back, slices
 from fotolith.llm.pieces import Pieces
 from fotolith.llm.shared import bounded_batches, new_path, text_bytes
+from fotolith.llm.words import split_words
 
 MAGIC = b"WMX2"
 #: Bits of a block, which has a count, and of a chunk, which is compressed alone.
@@ -40,8 +44,29 @@ BLOCK, CHUNK = 512, 1 << 16
 FILE_TOKENS = 1 << 21
 #: Bytes of text a range of documents holds, about.
 RANGE_BYTES = 16 << 20
-#: Pieces and words whose ids a worker keeps, about.
-PIECES, WORDS = 600_000, 150_000
+#: Bytes of text whose distinct pieces are encoded together, about: a range's as a rule; and bytes of
+#: distinct pieces that are encoded at once.
+GATHERED_BYTES, PIECE_BYTES = 24 << 20, 6 << 20
+#: Words whose ids a worker keeps, about.
+WORDS = 600_000
+
+
+class Dealt(NamedTuple):
+    """Places in a chunk, and where the ids at them go, in order."""
+
+    places: np.ndarray
+    to: slice
+
+
+def dealing(one: np.ndarray, zeros: int) -> Iterator[tuple[int, Dealt, Dealt]]:
+    """Where a plane's bits deal the ids, chunk by chunk so that all stays in the processor's cache:
+    the chunk's first place, its zeros and its ones. Places take no branch for each id, unlike masks."""
+    low, high = 0, zeros
+    for at in range(0, len(one), CHUNK):
+        bits = one[at : at + CHUNK]
+        a, b = np.flatnonzero(~bits), np.flatnonzero(bits)
+        yield at, Dealt(a, slice(low, low + len(a))), Dealt(b, slice(high, high + len(b)))
+        low, high = low + len(a), high + len(b)
 
 
 class WaveletMatrix:
@@ -64,9 +89,12 @@ class WaveletMatrix:
             planes.append([zip_.compress(packed[a : a + CHUNK // 8].tobytes()) for a in range(0, len(packed), CHUNK // 8)])
             whole = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)]).reshape(-1, BLOCK // 8)
             before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole).sum(axis=1, dtype=np.int64))]).astype("<u4"))
-            low, high = ids[~one], ids[one]
-            zeros.append(len(low))
-            ids = np.concatenate([low, high])
+            zeros.append(size - int(before[-1][-1]))
+            out = np.empty_like(ids)
+            for at, low, high in dealing(one, zeros[-1]):
+                ids[at : at + CHUNK].take(low.places, out=out[low.to], mode="clip")
+                ids[at : at + CHUNK].take(high.places, out=out[high.to], mode="clip")
+            ids = out
         return cls(size, zeros, planes, before)
 
     def block(self, k: int, b: int) -> np.ndarray:
@@ -134,8 +162,10 @@ class WaveletMatrix:
             packed = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(c) for c in self.packed[k]), np.uint8)
             one = np.unpackbits(packed, count=self.size, bitorder="little").view(bool)
             above = np.empty(self.size, wide)
-            above[~one] = out[: self.zeros[k]]
-            above[one] = out[self.zeros[k] :] | wide(1 << (len(self.packed) - 1 - k))
+            out[self.zeros[k] :] |= wide(1 << (len(self.packed) - 1 - k))
+            for at, low, high in dealing(one, self.zeros[k]):
+                above[at : at + CHUNK][low.places] = out[low.to]
+                above[at : at + CHUNK][high.places] = out[high.to]
             out = above
         return out
 
@@ -166,12 +196,30 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return doc_ids, lengths, WaveletMatrix(size, zeros, packed, before)
 
 
+def spread(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places first[k], first[k] + 1 and so on of runs of sizes[k], one run after the other; where
+    each run begins and ends among them)."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    kind = np.int32 if max(ends[-1], first.max(initial=0) + sizes.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((first - ends[:-1]).astype(kind), sizes)
+    out += np.arange(ends[-1], dtype=kind)
+    return out, ends
+
+
+def listed(strings: pa.Array) -> list[str]:
+    """As to_pylist, which makes an object of its own for each string first."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """Encodes columns of texts with the tokenizers library, each distinct piece between ASCII white
-    space once: no token of a vocabulary that drops white space crosses it."""
+    """Encodes columns of texts with the tokenizers library, each distinct word of the pieces between
+    ASCII white space once: no token of a vocabulary that drops white space crosses it."""
 
-    #: Letters whose normal form, case and class don't depend on anything around them, then marks.
-    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    #: Letters whose normal form, case and class don't depend on anything around them, and marks.
+    LETTERS = "".join(c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]) if c not in "×÷")
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+    #: A piece of one word and perhaps one run of marks after it.
+    SIMPLE = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(MARKS)}]*$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,48 +227,98 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
-        probe = "Aqz,.! ÀÖßÿ? Z;"
-        #: the vocabulary folds case and takes letters and marks apart, so that SIMPLE holds
-        self.plain = self.library.normalizer is not None and self.words(probe) == ["aqz", ",.!", "àößÿ".encode().decode("latin-1").translate(self.symbols), "?", "z", ";"]
-        self.known: dict[str, list[int]] = {}
-        self.kept = Pieces(self.encode_all, PIECES)
-
-    def words(self, piece: str) -> list[str] | None:
-        """The library's words of a piece; None if a special token's string is in it."""
+        self.codes = np.array([*map(ord, byte_symbols())], "<u2")
+        self.codes[0x20] = 0x20  # between words
+        #: the vocabulary folds case, takes letters and marks apart, and no special token is made of them alone, so that SIMPLE holds
+        self.plain = self.library.normalizer is not None and not any(re.fullmatch(f"[{self.LETTERS}]*[{re.escape(self.MARKS)}]*", t) for t in self.specials) and self.words(
+            f"Aqz,. {self.LETTERS}{self.MARKS} Z;"
+        ) == ["aqz", ",.", *self.in_symbols(pa.array([self.LETTERS.lower()], pa.large_string())).to_pylist(), self.MARKS, "z", ";"]
+        self.kept = Pieces(self.encode_all, WORDS, listed)
+
+    def words(self, piece: str) -> list[str]:
+        """The library's words of a piece; the piece after a space if a special token's string is in it."""
         for t in self.specials:
             if t in piece:
-                return None
+                return [" " + piece]
         if self.library.normalizer is not None:
             piece = self.library.normalizer.normalize_str(piece)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
 
-    def encode(self, piece: str) -> list[int]:
-        if self.plain and (m := self.SIMPLE.fullmatch(piece)):
-            word, marks = m.groups()
-            word = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self.symbols)
-            words = [word, marks] if marks else [word]
-        elif (words := self.words(piece)) is None:
-            return self.library.encode(piece, add_special_tokens=False).ids
-        out = []
-        for w in words:
-            if (ids := self.known.get(w)) is None:
-                ids = [t.id for t in self.library.model.tokenize(w)]
-                if len(self.known) < WORDS:
-                    self.known[w] = ids
-            out += ids
-        return out
-
-    def encode_all(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of all pieces one after the other, how many each has)."""
-        out = [self.encode(p) for p in pieces]
+    def in_symbols(self, words: pa.Array) -> pa.Array:
+        """Words without white space, each byte as its character in the vocabulary."""
+        if pc.all(pc.string_is_ascii(words), min_count=0).as_py():
+            return words
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(" ", pa.large_string()))
+        text = self.codes[np.frombuffer(joined[0].as_buffer(), np.uint8)].tobytes().decode("utf-16-le")
+        return pc.split_pattern(pa.array([text], pa.large_string()), " ").flatten()
+
+    def split(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(the distinct words of pieces, the numbers of each piece's words among them, how many words
+        each piece has). Only pieces that are not SIMPLE are taken apart by the library, one by one."""
+        simple = pc.match_substring_regex(pieces, self.SIMPLE).to_numpy(zero_copy_only=False) if self.plain else np.zeros(len(pieces), bool)
+        some = pieces.filter(pa.array(simple))
+        stems, marks = self.in_symbols(pc.utf8_lower(pc.ascii_rtrim(some, self.MARKS))), pc.utf8_ltrim(some, self.LETTERS)
+        marked = pc.not_equal(pc.binary_length(marks), 0).to_numpy(zero_copy_only=False)
+        rest = [self.words(p) for p in listed(pieces.filter(pa.array(~simple)))]
+        coded = pa.concat_arrays([stems, marks.filter(pa.array(marked)), pa.array([w for p in rest for w in p], pa.large_string())]).dictionary_encode()
+        numbers, sizes = np.empty(len(coded), np.int64), np.ones(len(pieces), np.int64)
+        sizes[simple] += marked
+        sizes[~simple] = np.fromiter(map(len, rest), np.int64, len(rest))
+        begins = np.cumsum(sizes) - sizes
+        numbers[np.concatenate([begins[simple], begins[simple][marked] + 1, spread(begins[~simple], sizes[~simple])[0]])] = coded.indices.to_numpy(zero_copy_only=False)
+        return coded.dictionary, numbers, sizes
+
+    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words one after the other, how many each has)."""
+        tokenize = self.library.model.tokenize
+        out = [self.library.encode(w[1:], add_special_tokens=False).ids if w[:1] == " " else [t.id for t in tokenize(w)] for w in words]
         sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((i for t in out for i in t), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
 
-    def column(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids of each), each text closed by `end`."""
-        ids, where = self.kept.column(texts, end)
-        return ids, np.diff(where)
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all pieces one after the other, how many each has)."""
+        words, numbers, sizes = self.split(pieces)
+        at = self.kept.places(words)
+        first, per = self.kept.starts[at], self.kept.starts[at + 1] - self.kept.starts[at]
+        take, ends = spread(first[numbers], per[numbers])
+        return self.kept.ids[take], np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def columns(self, columns: list[pa.Array], end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts, ids of each) of each column, each text closed by `end`. The distinct pieces
+        of all columns are encoded together, in blocks of some MB; texts are put together column by column."""
+        cut = []
+        for texts in columns:
+            codes, pieces, offsets = split_words(texts, fold=False)
+            cut.append((codes.astype(np.int32), pieces.cast(pa.large_string()), offsets))
+        coded = pa.concat_arrays([pieces for _, pieces, _ in cut]).dictionary_encode()
+        indices, pieces = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        size = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // PIECE_BYTES)) + 1
+        made = [self.encode_pieces(pieces.slice(a, b - a)) for a, b in zip([0, *cuts], [*cuts, len(pieces)])]
+        known, sizes = np.concatenate([ids for ids, _ in made]), np.concatenate([n for _, n in made])
+        starts, begin = np.cumsum(sizes) - sizes, 0
+        for codes, pieces, offsets in cut:
+            places = indices[begin : begin + len(pieces)]
+            begin += len(pieces)
+            take, ends = spread(starts[places][codes], sizes[places][codes])
+            ids, where = known[take], ends[offsets]
+            if end is not None:
+                ids, where = np.insert(ids, where[1:], end), where + np.arange(len(where))
+            yield ids, np.diff(where)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches whose texts have at most about `limit` bytes together, or one batch."""
+    held, size = [], 0
+    for batch in batches:
+        more = pc.sum(pc.binary_length(batch.column(column)), min_count=0).as_py()
+        if held and size + more > limit:
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield held
 
 
 _encoders: dict[str, Encoder] = {}
@@ -249,17 +347,18 @@ def write_token_files(df: DataFrame, path: str, vocabulary: str, end: int | None
             payload = pack(np.concatenate(keys), np.concatenate(sizes), np.concatenate(ids))
             return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "docs": [sum(map(len, keys))], "n_tokens": [held], "payload": [payload]}, schema=schema)
 
-        for batch in slices(batches, "text", 4 << 20):
-            flat, n = encoder.column(batch.column("text"), end)
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-            sizes.append(n)
-            ids.append(flat)
-            held += len(flat)
-            if held >= FILE_TOKENS:
-                yield close()
-                keys, sizes, ids, held, part = [], [], [], 0, part + 1
+        for some in gathered(slices(batches, "text", 4 << 20), "text", GATHERED_BYTES):
+            for batch, (flat, n) in zip(some, encoder.columns([b.column("text") for b in some], end)):
+                keys.append(batch.column("key").to_numpy(zero_copy_only=False))
+                sizes.append(n)
+                ids.append(flat)
+                held += len(flat)
+                if held >= FILE_TOKENS:
+                    yield close()
+                    keys, sizes, ids, held, part = [], [], [], 0, part + 1
         if keys:
             yield close()
+        give_back()
 
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     dealt = rows.repartitionByRange(ranges, "key").sortWithinPartitions("key", "text")
